@@ -196,6 +196,8 @@ def fit_language_model(
             break
         rows.append(r)
     rows = [r for r in rows if r[1].strip()]
+    if not rows:  # knows nothing: every language is as likely
+        return LanguageModel(np.zeros((1 << bits, len(LANGUAGES)), np.float32), bits)
     y = np.array([LANGUAGES.index(r[0]) for r in rows])
     unsure = np.array([r[2] for r in rows], bool)
     index, owner, letters, _ = features([r[1] for r in rows], bits)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quillrank.operators.cut import cut
 
+# working columns, named so that no input column is taken for one
+_SCORE, _BAND, _GROUP, _FILLED = "__top_n_score", "__top_n_band", "__top_n_group", "__top_n_filled"
+
 
 def band_edges(scored: DataFrame, score: str, n: int, mean_size: float, bands: int) -> list[float]:
     """Lower edges of the upper bands, falling.
@@ -34,7 +37,8 @@ def top_n_by_bands(
     ``missing`` stands in for NULL and NaN scores (``None``: such rows rank below
     all numbers). Equal scores are ordered by ``ties``, which must tell any two rows
     of a group apart for a repeatable result. A NULL group is a group; fewer than
-    ``n`` rows give as many as there are; all columns are kept.
+    ``n`` rows give as many as there are; all columns are kept, one named like
+    ``rank`` is replaced.
 
     1. Global score quantiles cut the rows into a few descending bands.
     2. One map-side combined count per group and band tells, from the top band
@@ -50,18 +54,18 @@ def top_n_by_bands(
     """
     low = F.lit(float("-inf")) if missing is None else F.lit(float(missing))
     value = F.col(score).cast("double")
-    rows = cut(rows.withColumn("_score", F.when(value.isNull() | F.isnan(value), low).otherwise(value)))
+    rows = cut(rows.withColumn(_SCORE, F.when(value.isNull() | F.isnan(value), low).otherwise(value)))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(group).alias("g")).first()
-    edges = band_edges(rows, "_score", n, size["n"] / max(size["g"], 1), bands)
+    edges = band_edges(rows, _SCORE, n, size["n"] / max(size["g"], 1), bands)
     survivors = rows
     if edges:
-        band = reduce(lambda rest, e: F.when(F.col("_score") >= e[1], e[0]).otherwise(rest), reversed(list(enumerate(edges))), F.lit(len(edges)))
-        banded = rows.withColumn("_band", band)
-        reached = [F.count_if(F.col("_band") <= i).alias(f"c{i}") for i in range(len(edges))]
-        counts = banded.groupBy(F.col(group).alias("_group")).agg(*reached)
+        band = reduce(lambda rest, e: F.when(F.col(_SCORE) >= e[1], e[0]).otherwise(rest), reversed(list(enumerate(edges))), F.lit(len(edges)))
+        banded = rows.withColumn(_BAND, band)
+        reached = [F.count_if(F.col(_BAND) <= i).alias(f"c{i}") for i in range(len(edges))]
+        counts = banded.groupBy(F.col(group).alias(_GROUP)).agg(*reached)
         filled_in = F.coalesce(*[F.when(F.col(f"c{i}") >= n, i) for i in range(len(edges))])
-        filled = counts.select("_group", filled_in.alias("_filled")).filter(F.col("_filled").isNotNull())
-        survivors = banded.join(filled, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_band") > F.col("_filled")), "left_anti")
-    w = Window.partitionBy(group).orderBy(F.col("_score").desc(), *ties)
+        filled = counts.select(_GROUP, filled_in.alias(_FILLED)).filter(F.col(_FILLED).isNotNull())
+        survivors = banded.join(filled, F.col(group).eqNullSafe(F.col(_GROUP)) & (F.col(_BAND) > F.col(_FILLED)), "left_anti")
+    w = Window.partitionBy(group).orderBy(F.col(_SCORE).desc(), *ties)
     ranked = survivors.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
-    return ranked.drop("_score", "_band")
+    return ranked.drop(_SCORE, _BAND)
