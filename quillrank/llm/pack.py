@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillrank.operators.cut import cut
 
 #: Windows that one block of items fills, about.
-WINDOWS_PER_BLOCK = 128
+WINDOWS_PER_BLOCK = 256
 
 
 def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, int]:
@@ -77,30 +77,43 @@ def fewest_windows(sizes: np.ndarray, capacity: int) -> int:
     return max(math.ceil(int(sizes.sum()) / capacity), large + max(0, math.ceil(rest / capacity)), 1)
 
 
-def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
+def pack_block(sizes: np.ndarray, capacity: int, slack: float = 0.01, widest: float = 0.08) -> np.ndarray:
     """Window of every item (sizes 1 to ``capacity``); no window above ``capacity``.
 
-    The window count starts at the lower bound and rises while the largest window is
-    too full, by growing steps and then by halving the last step. With one window
-    per item the partition always fits, so the search ends.
+    Differencing starts at the lower bound of windows. While its largest window is
+    above the capacity, the windows that are full but not too full - within ``slack``
+    of the capacity, which widens up to ``widest`` while there are none, then the
+    fullest that fits - are sealed and the items of all others are differenced
+    again with a new bound. So the window count rises only by what the rest cannot
+    fill. Every round seals at least one window or, where nothing fits, raises the
+    count to one window per item at most, so the search ends.
     """
-    low = fewest_windows(sizes, capacity) - 1
-    step, high = 1, None
-    while high is None:
-        k = min(low + step, len(sizes))
-        label, most = difference(sizes, k)
+    out, made = np.full(len(sizes), -1, np.int64), 0
+    left = np.arange(len(sizes))
+    more = 0
+    while len(left):
+        part = sizes[left]
+        k = min(fewest_windows(part, capacity) + more, len(left))
+        label, most = difference(part, k)
         if most <= capacity:
-            high, best = k, label
-        else:
-            low, step = k, step * 2
-    while high - low > 1:
-        k = (low + high) // 2
-        label, most = difference(sizes, k)
-        if most <= capacity:
-            high, best = k, label
-        else:
-            low = k
-    return best
+            out[left] = made + label
+            break
+        sums = np.bincount(label, weights=part, minlength=k).astype(np.int64)
+        fits = (sums <= capacity) & (sums > 0)
+        while slack < widest and not (fits & (sums >= capacity * (1 - slack))).any():
+            slack *= 2
+        seal = fits & (sums >= capacity * (1 - slack))
+        if not seal.any():
+            seal = fits & (sums == sums[fits].max(initial=0))
+        if not seal.any():
+            more = 2 * more + 1
+            continue
+        more = 0
+        number = np.cumsum(seal) - 1 + made
+        inside = seal[label]
+        out[left[inside]] = number[label[inside]]
+        left, made = left[~inside], made + int(seal.sum())
+    return out
 
 
 def fill_containers(

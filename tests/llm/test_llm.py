@@ -304,6 +304,16 @@ def test_blocks_fit(sizes, capacity):
     assert sums.max() <= capacity and len(sums) >= math.ceil(sizes.sum() / capacity)
 
 
+def test_no_window_is_too_full():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        sizes = np.minimum(rng.lognormal(4, 1.2, rng.integers(1, 250)).astype(int) + 1, 256)
+        window = pack.pack_block(sizes, 256)
+        sums = np.bincount(window, weights=sizes)
+        assert (window >= 0).all() and sums.max() <= 256 and sums.min() > 0
+        assert len(sums) <= pack.fewest_windows(sizes, 256) * 1.25 + 2
+
+
 def test_containers_hold_everything(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([None, 0, 1, 5, 90, 100, 101, 350, rng.randint(1, 60)]), "x") for i in range(3_000)] + [(None, 5, "x")]
@@ -319,7 +329,7 @@ def test_containers_hold_everything(spark):
         assert all(pieces[i] == max(1, math.ceil((t or 0) / capacity)) for i, t, _ in rows if i is not None)
         fill = mine[mine.piece_size > 0].groupby("container_id").agg(used=("piece_size", "sum"), said=("container_fill", "first"))
         assert (fill.used <= capacity).all() and (fill.used == fill.said).all()
-        assert fill.used.sum() / (len(fill) * capacity) > 0.9
+        assert fill.used.sum() / (len(fill) * capacity) > 0.85  # two items of 90 to 101 leave a gap in 256 in any packing
         assert mine[mine.piece_size == 0].container_id.isna().all()
     assert pack.fill_containers(df.limit(0), "doc", "tokens", kinds, "n", "c").count() == 0
 
