@@ -235,7 +235,7 @@ def fit_language_model(
         order = np.argsort(-top)
         error = np.cumsum(~right[order]) / (np.arange(len(order)) + 1)
         fine = np.flatnonzero(error <= 1e-3)
-        model.accept = float(np.clip(top[order][fine[-1]] if len(fine) else 0.95, 0.8, 0.95))
+        model.accept = float(np.clip(top[order][fine[-1]] if len(fine) else 0.97, 0.95, 0.97))
     return model
 
 
@@ -254,7 +254,7 @@ def label_languages(
     """``(doc, para_no, lang_code, confidence)``: every text, and every line in another language.
 
     ``para_no`` 0 is the text: the language that most of its letters are in by line,
-    with the letters' share times their mean probability as confidence; NULL and
+    with these lines' mean probability, weighted by letters, as confidence; NULL and
     confidence 0 for texts without words (NULL and empty texts too). A line, counted
     from 1 with empty lines, has a row where another language than the text's is
     accepted with at least the model's calibrated limit; lines under ``MIN_LETTERS``
@@ -275,7 +275,9 @@ def label_languages(
         mass = np.stack([np.bincount(text[words], weights=letters[words] * p[words, c], minlength=len(texts)) for c in range(n)], axis=1)
         total = votes.sum(axis=1)
         main = np.where(votes.max(axis=1, keepdims=True) == votes, mass, -1).argmax(axis=1)
-        sure = mass[np.arange(len(texts)), main] / np.maximum(total, 1)
+        own = words & (top == main[text])
+        mine = np.bincount(text[own], weights=letters[own] * p[own].max(axis=1), minlength=len(texts))
+        sure = mine / np.maximum(votes[np.arange(len(texts)), main], 1)
         who = list(range(len(texts)))
         code = [LANGUAGES[m] if t else None for m, t in zip(main, total, strict=True)]
         other = np.flatnonzero((letters >= MIN_LETTERS) & (top != main[text]) & (p.max(axis=1) >= limit))

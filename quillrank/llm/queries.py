@@ -135,7 +135,7 @@ def _languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    wrong = F.col("label").isNull() | ((F.col("label") != F.col("lang_code")) & (F.col("confidence") >= 0.6))
+    wrong = F.col("label").isNull() | ((F.col("label") != F.col("lang_code")) & (F.col("confidence") >= 0.8))
     found = _languages(spark, d).filter(F.col("lang_code").isNotNull() & ((F.col("para_no") > 0) | wrong))
     return found.select("doc_id", "para_no", "lang_code")
 
