@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.operators.cut import cut
@@ -60,8 +58,9 @@ def retrieve(
     index = cut(index.join(pool.select("article_id"), "article_id", "left_semi").select("article_id", "term", "weight"))
     queries = cut(queries)
     n_articles = index.agg(F.approx_count_distinct("article_id")).first()[0] or 1
-    n_users = queries.agg(F.approx_count_distinct("user_id", )).first()[0] or 1
-    ab, ub = -(-n_articles // block_articles), -(-n_users // block_users)
+    n_users = queries.agg(F.approx_count_distinct("user_id")).first()[0] or 1
+    ab = -(-n_articles // block_articles)
+    ub = user_blocks(index.sparkSession, n_users, ab, block_users)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = index.withColumn("_ab", F.pmod(F.xxhash64("article_id"), F.lit(ab)).cast("int")).withColumn("_ub", every(ub))
     right = queries.withColumn("_ub", F.pmod(F.xxhash64("user_id"), F.lit(ub)).cast("int")).withColumn("_ab", every(ab))
@@ -99,6 +98,12 @@ def retrieve(
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def user_blocks(spark: SparkSession, users: int, article_blocks: int, block_users: int) -> int:
+    """Blocks of users: of bounded size, and enough of them to occupy all cores."""
+    wanted = -(-spark.sparkContext.defaultParallelism // article_blocks)
+    return max(1, -(-users // block_users), min(wanted, -(-users // 50)))
+
+
 def recall_at(impressions: DataFrame, retrieved: DataFrame, profiles: DataFrame, ks: tuple[int, ...] = (50, 100, 200)) -> DataFrame:
     """Hits over clicks of impressions whose user has a profile, one row with ``recall_<k>``."""
     users = profiles.select("user_id", "split").distinct()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.functions.vectors import dot, sum_vectors
+
 KEY = ("scorer", "impression_id")
 TOP = 10
 
@@ -50,19 +52,17 @@ def top_k(scores: DataFrame, k: int = TOP) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def diversity(top: DataFrame, units: DataFrame) -> DataFrame:
+def diversity(top: DataFrame, units: DataFrame, dim: int) -> DataFrame:
     """One minus the mean cosine of two different recommended articles; NULL below two.
 
     The sum of all cosines is the squared length of the summed unit vectors, so one
     vector sum per list replaces the pairs. Articles outside the catalogue are left
     out, zero vectors stay in.
     """
-    joined = top.join(units.select("article_id", "unit"), "article_id")
-    cells = joined.select(*KEY, F.posexplode("unit").alias("_i", "_x"))
-    sums = cells.groupBy(*KEY, "_i").agg(F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_x")).alias("_q"), F.count(F.lit(1)).alias("_n"))
-    n = F.max("_n")
-    mean = (F.sum(F.col("_s") * F.col("_s")) - F.sum("_q")) / (n * (n - 1))
-    found = sums.groupBy(*KEY).agg(F.when(n >= 2, 1 - mean).alias("diversity"))
+    joined = top.join(units.select("article_id", "unit"), "article_id").withColumn("_q", dot("unit", "unit"))
+    sums = sum_vectors(joined, list(KEY), "unit", dim, extra=[F.sum("_q").alias("_q"), F.count(F.lit(1)).alias("_n")])
+    n = F.col("_n")
+    found = sums.select(*KEY, F.when(n >= 2, 1 - (dot("total", "total") - F.col("_q")) / (n * (n - 1))).alias("diversity"))
     return top.select(*KEY).distinct().join(found, list(KEY), "left")
 
 
@@ -91,12 +91,12 @@ def coverage(top: DataFrame, articles: DataFrame) -> DataFrame:
     return shown.join(F.broadcast(size)).select("scorer", "n_recommended", (F.col("n_recommended") / F.col("_size")).alias("coverage"))
 
 
-def list_metrics(scores: DataFrame, articles: DataFrame, popularity: DataFrame, units: DataFrame | None = None) -> DataFrame:
+def list_metrics(scores: DataFrame, articles: DataFrame, popularity: DataFrame, units: DataFrame | None = None, dim: int = 0) -> DataFrame:
     """All metrics of every list and scorer, one row each."""
     r = ranked(scores)
     top = top_lists(r)
     out = accuracy(r)
-    pieces = ([diversity(top, units)] if units is not None else []) + [category_entropy(top, articles), novelty(top, popularity)]
+    pieces = ([diversity(top, units, dim)] if units is not None else []) + [category_entropy(top, articles), novelty(top, popularity)]
     for piece in pieces:
         out = out.join(piece, list(KEY), "left")
     return out

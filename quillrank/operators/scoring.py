@@ -36,7 +36,7 @@ def score_leaky(candidates: DataFrame, counts: DataFrame | None, value: str, dec
 
 def score_candidates(
     candidates: DataFrame, *, popularity: DataFrame, clicks: DataFrame, queries: DataFrame, index: DataFrame, units: DataFrame,
-    pooling: str = "mean", topk: int = 5, seed: int = 13,
+    dim: int, pooling: str = "mean", topk: int = 5, seed: int = 13,
 ) -> DataFrame:
     """Candidates (``impression_id, pos, user_id, split, article_id, label``) with a column per scorer.
 
@@ -45,7 +45,7 @@ def score_candidates(
     pairs = candidates.select("user_id", "split", "article_id").filter(F.col("user_id").isNotNull()).distinct()
     scored = score_pairs(pairs, queries, index)
     if pooling == "mean":
-        scored = mean_pair_scores(scored, user_vectors(clicks, units), units)
+        scored = mean_pair_scores(scored, user_vectors(clicks, units, dim), units)
     elif pooling == "topk":
         scored = topk_pair_scores(scored, clicks, units, topk)
     else:

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.functions.vectors import EPS, dot, l2_normalize, norm
+from quillrank.functions.vectors import EPS, divide, dot, l2_normalize, norm, sum_vectors
 from quillrank.operators.cut import cut
+from quillrank.operators.lexical import user_blocks
 
 
 def align_vectors(articles: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -27,7 +28,7 @@ def align_vectors(articles: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     return joined.select("article_id", unit.alias("unit"), F.coalesce(norm("vec") > 0, F.lit(False)).alias("has_vector"))
 
 
-def user_vectors(clicks: DataFrame, units: DataFrame, half_life: float | None = None) -> DataFrame:
+def user_vectors(clicks: DataFrame, units: DataFrame, dim: int, half_life: float | None = None) -> DataFrame:
     """``(user_id, split, unit)``: normalised mean of the units of a user's known clicks.
 
     With ``half_life`` a click's weight is ``0.5 ** (age / half_life)``, age counted
@@ -39,10 +40,9 @@ def user_vectors(clicks: DataFrame, units: DataFrame, half_life: float | None =
     else:
         w = Window.partitionBy("user_id", "split").orderBy("age")
         weighted = joined.withColumn("_w", F.pow(F.lit(0.5), (F.row_number().over(w) - 1) / F.lit(float(half_life))))
-    cells = weighted.select("user_id", "split", "_w", F.posexplode("unit").alias("_i", "_x"))
-    means = cells.groupBy("user_id", "split", "_i").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
-    packed = means.groupBy("user_id", "split").agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v"))
-    return packed.select("user_id", "split", l2_normalize(F.col("_v._m")).alias("unit"))
+    sums = sum_vectors(weighted, ["user_id", "split"], "unit", dim, F.col("_w"), [F.sum("_w").alias("_n")])
+    mean = divide("total", F.col("_n"))
+    return sums.select("user_id", "split", mean.alias("_m")).select("user_id", "split", l2_normalize("_m").alias("unit"))
 
 
 def mean_pair_scores(pairs: DataFrame, users: DataFrame, units: DataFrame, name: str = "semantic") -> DataFrame:
@@ -77,7 +77,8 @@ def retrieve_vectors(users: DataFrame, units: DataFrame, pool: DataFrame, k: int
     """
     items = cut(units.filter("has_vector").join(pool.select("article_id"), "article_id", "left_semi").select("article_id", "unit"))
     asks = cut(users.filter(norm("unit") > EPS).select("user_id", "split", "unit"))
-    ab, ub = max(1, -(-items.count() // block_articles)), max(1, -(-asks.count() // block_users))
+    ab = max(1, -(-items.count() // block_articles))
+    ub = user_blocks(units.sparkSession, asks.count(), ab, block_users)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = items.withColumn("_ab", F.pmod(F.xxhash64("article_id"), F.lit(ab)).cast("int")).withColumn("_ub", every(ub))
     right = asks.withColumn("_ub", F.pmod(F.xxhash64("user_id"), F.lit(ub)).cast("int")).withColumn("_ab", every(ab))

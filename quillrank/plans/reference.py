@@ -335,7 +335,7 @@ def _user_vector_cells(users: DataFrame) -> DataFrame:
 
 @query("SELECT user_id, generate_subscripts(unit, 1)::INT - 1 AS i, round(unnest(unit), 6) AS x FROM uv")
 def user_vec_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _user_vector_cells(sm.user_vectors(base.clicks(spark, d, base.test_sample(spark, d)), base.units(spark, d)))
+    return _user_vector_cells(sm.user_vectors(base.clicks(spark, d, base.test_sample(spark, d)), base.units(spark, d), base.DIM))
 
 
 @query(""", kc AS (SELECT user_id, split, unit, row_number() OVER (PARTITION BY user_id, split ORDER BY age) - 1 AS k FROM clk JOIN vec USING (article_id)),
@@ -343,18 +343,21 @@ def user_vec_mean(spark: SparkSession, d: str) -> DataFrame:
   m AS (SELECT user_id, split, i, sum(w * x) / sum(w) AS m FROM e GROUP BY ALL), l AS (SELECT user_id, split, list(m ORDER BY i) AS m FROM m GROUP BY ALL)
 SELECT user_id, generate_subscripts(m, 1)::INT - 1 AS i, round(unnest(m) / greatest(sqrt(list_sum(list_transform(m, lambda x: x * x))), 1e-12), 6) AS x FROM l""")
 def user_vec_recency(spark: SparkSession, d: str) -> DataFrame:
-    return _user_vector_cells(sm.user_vectors(base.clicks(spark, d, base.test_sample(spark, d)), base.units(spark, d), half_life=5.0))
+    return _user_vector_cells(sm.user_vectors(base.clicks(spark, d, base.test_sample(spark, d)), base.units(spark, d), base.DIM, half_life=5.0))
 
 
 _SEM_TOP = """SELECT user_id, split, article_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, split ORDER BY score DESC, article_id) AS rank FROM
   (SELECT uv.user_id, uv.split, vec.article_id, round(list_dot_product(uv.unit, vec.unit), 9) AS score FROM uv JOIN vec ON has_vector AND list_sum(list_transform(uv.unit, lambda x: x * x)) > 1e-24 {where})) WHERE rank <= {k}"""
 
 
-def _sem(spark: SparkSession, d: str, k: int, pool: str, approximate: bool = False) -> DataFrame:
+def _sem_inputs(spark: SparkSession, d: str, pool: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     sample, units = base.test_sample(spark, d), cut(base.units(spark, d))
     ids = ft.build_pool(base.articles(spark, d), sample, pool)[0]
-    users = sm.user_vectors(base.clicks(spark, d, sample), units)
-    return (sm.retrieve_approximate if approximate else sm.retrieve_vectors)(users, units, ids, k)
+    return sm.user_vectors(base.clicks(spark, d, sample), units, base.DIM), units, ids
+
+
+def _sem(spark: SparkSession, d: str, k: int, pool: str) -> DataFrame:
+    return sm.retrieve_vectors(*_sem_inputs(spark, d, pool), k)
 
 
 @query("SELECT user_id, article_id, round(score, 6) AS score, rank::INT AS rank FROM (" + _SEM_TOP.format(where="", k=10) + ")")
@@ -369,7 +372,9 @@ def recall_semantic(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ann_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return sm.agreement(_sem(spark, d, 20, "all"), _sem(spark, d, 20, "all", approximate=True))
+    users, units, ids = _sem_inputs(spark, d, "all")
+    users = cut(users)
+    return sm.agreement(sm.retrieve_vectors(users, units, ids, 20), sm.retrieve_approximate(users, units, ids, 20))
 
 
 def _pairs(sample: DataFrame) -> DataFrame:
@@ -389,7 +394,7 @@ def semantic_topk_pool(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p.user_id, p.article_id, round(coalesce(list_dot_product(uv.unit, vec.unit), 0), 6) AS semantic FROM pairs p LEFT JOIN uv USING (user_id, split) LEFT JOIN vec ON vec.article_id = p.article_id")
 def semantic_mean_pairs(spark: SparkSession, d: str) -> DataFrame:
     sample, units = base.test_sample(spark, d), base.units(spark, d)
-    return sm.mean_pair_scores(_pairs(sample), sm.user_vectors(base.clicks(spark, d, sample), units), units).select("user_id", "article_id", _r("semantic"))
+    return sm.mean_pair_scores(_pairs(sample), sm.user_vectors(base.clicks(spark, d, sample), units, base.DIM), units).select("user_id", "article_id", _r("semantic"))
 
 
 # scorers --------------------------------------------------------------------------------
@@ -447,7 +452,7 @@ def _score_all(spark: SparkSession, d: str, pooling: str = "mean") -> DataFrame:
     clicks = cut(base.clicks(spark, d, sample))
     return sc.score_candidates(
         sp.explode_candidates(sample, ("split",)), popularity=base.popularity(spark, d), clicks=clicks,
-        queries=lx.query_terms(clicks, features), index=lx.postings(features), units=base.units(spark, d), pooling=pooling)
+        queries=lx.query_terms(clicks, features), index=lx.postings(features), units=base.units(spark, d), dim=base.DIM, pooling=pooling)
 
 
 @query(""", leaky AS (SELECT a, count(*)::DOUBLE AS n FROM (SELECT unnest(clicked_ids) AS a FROM imp) GROUP BY 1),
@@ -509,7 +514,7 @@ _NOVELTY = """nv AS (SELECT scorer, impression_id, avg(-log2((coalesce(train_cli
 
 @query(f", {_DIVERSITY} SELECT scorer, impression_id, round(diversity, 6) AS diversity FROM (SELECT DISTINCT scorer, impression_id FROM top) LEFT JOIN dv USING (scorer, impression_id)")
 def metric_diversity(spark: SparkSession, d: str) -> DataFrame:
-    return mt.diversity(_top(spark, d), base.units(spark, d)).select("scorer", "impression_id", _r("diversity"))
+    return mt.diversity(_top(spark, d), base.units(spark, d), base.DIM).select("scorer", "impression_id", _r("diversity"))
 
 
 @query(f", {_ENTROPY} SELECT scorer, impression_id, round(cat_entropy, 6) AS cat_entropy FROM ce")
@@ -565,7 +570,7 @@ _ALL_METRICS = " UNION ALL ".join(
 
 @query(f", {_DIVERSITY}, {_ENTROPY}, {_NOVELTY}, {_SLICES}, lm AS ({_ALL_METRICS}) {_SUMMARY}")
 def eval_report(spark: SparkSession, d: str) -> DataFrame:
-    found = mt.list_metrics(_scores(spark, d), base.articles(spark, d), base.popularity(spark, d), base.units(spark, d))
+    found = mt.list_metrics(_scores(spark, d), base.articles(spark, d), base.popularity(spark, d), base.units(spark, d), base.DIM)
     return ev.summaries(found, _slices(spark, d)).withColumn("value", F.round("value", 6))
 
 
@@ -605,7 +610,7 @@ def _infer(spark: SparkSession, d: str, n: int) -> DataFrame:
     units = base.units(spark, d)
     clicks = ft.recent_clicks(base.history(spark, d), base.chosen(spark, d), n, sample.select("user_id", "split"))
     candidates = sp.explode_candidates(sample, ("split",)).drop("label")
-    scored = sm.mean_pair_scores(_pairs(sample), sm.user_vectors(clicks, units), units)
+    scored = sm.mean_pair_scores(_pairs(sample), sm.user_vectors(clicks, units, base.DIM), units)
     wide = candidates.join(scored, ["user_id", "split", "article_id"], "left")
     return wide.withColumn("score", F.round(F.coalesce("semantic", F.lit(0.0)), 9))
 

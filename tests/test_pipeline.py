@@ -47,8 +47,8 @@ def test_ndcg_and_ties(spark):
 def test_diversity_entropy_novelty(spark):
     top = metrics.top_k(scored(spark, [(0, 3), (0, 2), (1, 1)]))
     units = spark.createDataFrame([("a0", [1.0, 0.0]), ("a1", [0.0, 1.0])], "article_id string, unit array<double>")
-    assert metrics.diversity(top, units).first().diversity == pytest.approx(1.0)
-    assert metrics.diversity(top, units.filter("article_id = 'a0'")).first().diversity is None
+    assert metrics.diversity(top, units, 2).first().diversity == pytest.approx(1.0)
+    assert metrics.diversity(top, units.filter("article_id = 'a0'"), 2).first().diversity is None
     cats = spark.createDataFrame([("a0", "x"), ("a1", "y")], "article_id string, category string")
     assert metrics.category_entropy(top, cats).first().cat_entropy == pytest.approx(np.log2(3))
     pop = spark.createDataFrame([("a0", 3), ("a1", 0)], "article_id string, train_clicks bigint")
@@ -167,13 +167,23 @@ def test_approximate_search_agrees(spark, data):
     from quillrank.plans import base
 
     units = base.units(spark, data)
-    users = semantic.user_vectors(base.clicks(spark, data, base.test_sample(spark, data)), units)
+    users = semantic.user_vectors(base.clicks(spark, data, base.test_sample(spark, data)), units, base.DIM)
     exact = semantic.retrieve_vectors(users, units, units, 10, block_articles=25, block_users=7)
     near = semantic.retrieve_approximate(users, units, units, 10, cells=8, probe=4, chunk=20)
     assert semantic.agreement(exact, near).first().agreement >= 0.7
     assert semantic.agreement(exact, semantic.retrieve_approximate(users, units, units, 10, cells=8, probe=8)).first().agreement == pytest.approx(1.0)
 
 
+def test_vector_sums_wide_and_exploded(spark, monkeypatch):
+    from quillrank.functions import vectors
+
+    df = spark.createDataFrame([("a", [1.0, 2.0], 1.0), ("a", [3.0, 5.0], 2.0), ("b", [1.0, 1.0], 4.0)], "k string, v array<float>, w double")
+    run = lambda: sorted((r.k, list(r.total), r.n) for r in vectors.sum_vectors(df, ["k"], "v", 2, F.col("w"), [F.count(F.lit(1)).alias("n")]).collect())
+    wide = run()
+    monkeypatch.setattr(vectors, "WIDE", 1)
+    assert wide == run() == [("a", [7.0, 12.0], 2), ("b", [4.0, 4.0], 1)]
+
+
 def test_encoder_interface(spark):
     arts = spark.createDataFrame([("a", "t", None)], "article_id string, title string, abstract string")
     got = semantic.encode_texts(arts, lambda: (lambda texts: [[len(t), 0.0] for t in texts]), 2).first()
