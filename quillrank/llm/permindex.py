@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.functions.vectors import divide, norm
 from quillrank.operators.cut import cut
 
 #: Pivots are at most this many, which bounds what every task holds (64 dimensions: 4 MB).
@@ -42,9 +43,8 @@ def usable_vectors(rows: DataFrame, item: str, vector: str, dim: int) -> DataFra
     one = good.groupBy(item).agg(F.min("vec").alias("vec"))
     # scaled by the largest component first, so that no square over- or underflows
     top = F.array_max(F.transform("vec", F.abs)).cast("double")
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / F.col("_top")) * (x / F.col("_top"))))
     scaled = one.withColumn("_top", top).filter(F.col("_top") > 0)
-    return scaled.select(item, "vec", (F.col("_top") * length).alias("norm"))
+    return scaled.select(item, "vec", (F.col("_top") * norm(divide("vec", F.col("_top")))).alias("norm"))
 
 
 def choose_pivots(units: DataFrame, item: str, count: int) -> np.ndarray:
