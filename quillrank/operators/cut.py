@@ -37,8 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Delete the tables written so far; results that still read them must be done."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

@@ -137,7 +137,7 @@ def retrieve_approximate(users: DataFrame, units: DataFrame, pool: DataFrame, k:
     split, and users visit their cells' tasks. Same columns as the exact search.
     """
     items = cut(units.filter("has_vector").join(pool.select("article_id"), "article_id", "left_semi"))
-    centres = fit_cells(items, cells)
+    centres = fit_cells(items, max(1, min(cells, -(-items.count() // 100))))  # cells of a hundred articles at least
     asks = cut(users.filter(norm("unit") > EPS).select("user_id", "split", "unit"))
     if not items.limit(1).count() or not asks.limit(1).count():
         return retrieve_vectors(users, units, pool, k)
