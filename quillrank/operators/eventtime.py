@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Up to this many versions the version table is broadcast.
 MAX_BROADCAST_VERSIONS = 10_000
+#: An entity with more events than this in one version has them spread over several tasks.
+BUSY = 200
 
 
 def version_strips(versions: DataFrame, version: str, taken: str) -> DataFrame:
@@ -104,3 +106,31 @@ def attributes_as_of(
         *[F.col(f"_keep.{c}").alias(c) for c in keep], F.col("_known").alias("known_version"),
         F.col("_state.value").alias(value), F.col("_state.order").alias(order), F.col("_last").alias("known_last"),
     )
+
+
+def facts_as_of(
+    events: DataFrame, facts: DataFrame, versions: DataFrame, *,
+    event_time: str, entity: str, version: str = "snapshot", taken: str = "taken_at", valid_time: str = "timestamp",
+    values: tuple[str, ...] = ("article_id", "position"), keep: tuple[str, ...] = ("impression_id",), salts: int = 8,
+) -> DataFrame:
+    """Every event with all facts of its entity that were available at its time, long.
+
+    Same rule as :func:`attributes_as_of`; facts with a NULL first value do not count,
+    equal facts (entity, version, time, values) count once. Result: ``keep`` columns and
+    ``values``; events without facts give no rows. As the result of an entity is the
+    product of its events and facts, the events of a busy entity (more than ``BUSY`` in
+    one version) are spread over ``salts`` buckets, each with a copy of its facts.
+    """
+    strips = version_strips(versions, version, taken)
+    bounded = F.broadcast(strips) if strips.limit(MAX_BROADCAST_VERSIONS + 1).count() <= MAX_BROADCAST_VERSIONS else strips
+    e = events.select(F.struct(*keep).alias("_keep"), F.col(entity).alias("_entity"), F.col(event_time).alias("_at")).filter(F.col("_entity").isNotNull())
+    e = e.join(bounded, (F.col("_from") <= F.col("_at")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))).drop("_from", "_to")
+    busy = e.groupBy("_entity", "_version").agg(F.count(F.lit(1)).alias("_events")).filter(F.col("_events") > BUSY)
+    busy = busy.select("_entity", "_version", F.lit(salts).alias("_salts"))
+    f = facts.select(F.col(entity).alias("_entity"), F.col(version).alias("_version"), F.col(valid_time).alias("_time"), F.struct(*values).alias("_values"))
+    f = f.filter(F.col("_entity").isNotNull() & F.col("_version").isNotNull() & F.col("_values")[values[0]].isNotNull()).distinct()
+    many = F.coalesce("_salts", F.lit(1))
+    f = f.join(busy, ["_entity", "_version"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_salts")
+    e = e.join(busy, ["_entity", "_version"], "left").withColumn("_salt", F.pmod(F.xxhash64("_keep"), many).cast("int")).drop("_salts")
+    joined = e.join(f, ["_entity", "_version", "_salt"]).filter(F.col("_time").isNull() | (F.col("_time") <= F.col("_at")))
+    return joined.select(*[F.col(f"_keep.{c}").alias(c) for c in keep], *[F.col(f"_values.{c}").alias(c) for c in values])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.ids import canonical_article_id
 from quillrank.operators.cut import cut
-from quillrank.operators.eventtime import attributes_as_of
+from quillrank.operators.eventtime import attributes_as_of, facts_as_of
 from quillrank.operators.keystats import heavy_keys, key_stats
 from quillrank.sources.tables import table
 
@@ -41,7 +41,11 @@ def p7_attributes(spark: SparkSession, d: str) -> DataFrame:
     return _as_of(spark, d, "left").select("impression_id", "known_version", "article_id", "position", "known_last")
 
 
-QUERIES = {"p2_found": p2_found, "p2_article_clicks": p2_article_clicks, "p7_found": p7_found, "p7_attributes": p7_attributes}
+def p7_history(spark: SparkSession, d: str) -> DataFrame:
+    return facts_as_of(table(spark, d, "impressions"), _history(spark, d), table(spark, d, "snapshots"), event_time="timestamp", entity="user_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_article_clicks": p2_article_clicks, "p7_found": p7_found, "p7_attributes": p7_attributes, "p7_history": p7_history}
 
 _HISTORY = """
 h AS (SELECT DISTINCT user_id, CASE WHEN regexp_matches(article_id, '[0-9]{9}')
@@ -61,5 +65,6 @@ ORACLE = {
     "p2_found": f"WITH {_HISTORY} SELECT article_id FROM h WHERE article_id IS NOT NULL GROUP BY article_id HAVING count(*) >= 0.01 * (SELECT count(*) FROM h)",
     "p2_article_clicks": f'WITH {_HISTORY} SELECT article_id, count(*)::BIGINT AS clicks, count(DISTINCT user_id)::BIGINT AS users, max("timestamp") AS last_click FROM h GROUP BY article_id',
     "p7_found": _AS_OF + "SELECT impression_id, article_id FROM r WHERE rn = 1 AND article_id IS NOT NULL",
+    "p7_history": _AS_OF + "SELECT impression_id, article_id, position FROM j WHERE article_id IS NOT NULL",
     "p7_attributes": _AS_OF + "SELECT impression_id, known_version, article_id, position, known_last FROM r WHERE rn = 1",
 }

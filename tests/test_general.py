@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillrank.functions.ids import canonical_article_id
-from quillrank.operators.eventtime import attributes_as_of, version_strips
+from quillrank.operators.eventtime import attributes_as_of, facts_as_of, version_strips
 from quillrank.operators.keystats import heavy_keys, key_stats
 from quillrank.operators.skew import join_key_stats
 
@@ -73,6 +73,26 @@ def test_as_of_against_brute_force(spark):
     assert sorted(r.impression_id for r in inner.collect()) == [w[0] for w in want if w[2] is not None]
 
 
+def test_facts_as_of_against_brute_force(spark, monkeypatch):
+    from quillrank.operators import eventtime
+
+    rng = random.Random(6)
+    versions = [("v0", hours(24)), ("v1", hours(100))]
+    pick = lambda *x: rng.choice(x)
+    facts = [(pick("u1", "u1", "u2", None), pick("a", "b", None), pick(None, hours(rng.randint(0, 200))), pick(None, 1, 2), pick("v0", "v1", None), "x") for _ in range(200)]
+    events = [(i, pick("u1", "u1", "u2", "nobody", None), pick(None, hours(rng.randint(0, 300))), "p") for i in range(150)]
+    want = []
+    for imp, user, at, _ in events:
+        taken = sorted((t, s) for s, t in versions if at is not None and t <= at)
+        mine = {(a, p, t) for u, a, t, p, s, _ in facts if taken and u is not None and u == user and a is not None and s == taken[-1][1] and (t is None or t <= at)}
+        want += [(imp, a, p or -1) for a, p, _ in mine]
+    e, f, v = (spark.createDataFrame(x, s) for x, s in ((events, EVENTS), (facts, FACTS), (versions, VERSIONS)))
+    for busy in (200, 10):
+        monkeypatch.setattr(eventtime, "BUSY", busy)
+        got = facts_as_of(e, f, v, event_time="timestamp", entity="user_id")
+        assert sorted((r.impression_id, r.article_id, r.position or -1) for r in got.collect()) == sorted(want)
+
+
 def test_as_of_empty_inputs(spark):
     e, f, v = (spark.createDataFrame([], s) for s in (EVENTS, FACTS, VERSIONS))
     assert attributes_as_of(e, f, v, event_time="timestamp", entity="user_id").count() == 0
