@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from quillrank.operators.skew import join_key_stats
 
 #: Products are merged whenever a record block has gathered this many entries.
 BLOCK_ENTRIES = 4_000_000
+#: Dictionaries of up to this many items (and 32 bytes an item) are broadcast to the tasks.
+MAX_DICTIONARY = 500_000
 
 
 def gram_block(items: np.ndarray, sizes: np.ndarray, support: np.ndarray | None, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,9 +71,93 @@ def gram_block(items: np.ndarray, sizes: np.ndarray, support: np.ndarray | None,
     return codes[keys[0] // m], codes[keys[0] % m], counts[0]
 
 
+class _Blocks:
+    """Gathers baskets to record blocks and multiplies each with its transpose."""
+
+    def __init__(self, record_block: int, ratio: float):
+        self.record_block, self.ratio = record_block, ratio
+        self.items: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.support: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, items: np.ndarray, sizes: np.ndarray, support: np.ndarray) -> bool:
+        """Whether the block is full."""
+        self.items.append(items)
+        self.sizes.append(sizes)
+        self.support.append(support)
+        self.held += len(items)
+        return self.held >= self.record_block
+
+    def product(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = gram_block(np.concatenate(self.items), np.concatenate(self.sizes), np.concatenate(self.support).astype(np.float64), self.ratio)
+        self.__init__(self.record_block, self.ratio)
+        return out
+
+
+def _sliced(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(columns[0]), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000].astype(np.int64)) for c in columns], names=names)
+
+
+def _products_by_dictionary(sets: DataFrame, support: DataFrame, ratio: float, record_block: int) -> tuple[DataFrame, DataFrame]:
+    """Summed products by item number, and ``(code, item, n_item)`` with these numbers.
+
+    The baskets are multiplied where they are read; a pair of numbers is one long.
+    """
+    spark = sets.sparkSession
+    table = support.select("item", "n_item").toArrow().combine_chunks()
+    numbered = table.append_column("code", pa.array(np.arange(len(table)), pa.int64()))
+    values = table.column("item").combine_chunks() if len(table) else pa.array([], table.schema.field("item").type)
+    shared = spark.sparkContext.broadcast((values, table.column("n_item").to_numpy() if len(table) else np.empty(0, np.int64)))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = shared.value
+        block = _Blocks(record_block, ratio)
+        for batch in batches:
+            lists = batch.column(0)
+            if not len(lists):
+                continue
+            codes = pc.index_in(lists.flatten(), value_set=values)
+            there = codes.is_valid().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[there]
+            codes = codes.drop_null().to_numpy().astype(np.int64)
+            if block.add(codes, np.bincount(owner, minlength=len(lists)), counts[codes]):
+                a, b, c = block.product()
+                yield from _sliced([(a << 32) | b, c], ["k", "n"])
+        if block.held:
+            a, b, c = block.product()
+            yield from _sliced([(a << 32) | b, c], ["k", "n"])
+
+    summed = sets.select("_items").mapInArrow(products, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n_ab"))
+    pairs = summed.select(F.shiftright("k", 32).alias("a"), F.col("k").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n_ab")
+    names = spark.createDataFrame(numbered) if len(table) else support.select("item", "n_item", "code").limit(0)
+    return pairs, names
+
+
+def _products_by_join(sets: DataFrame, support: DataFrame, total: float, ratio: float, record_block: int) -> DataFrame:
+    """The same for dictionaries of any size: numbers come by a join, baskets are put together again."""
+    long = sets.select("_basket", F.explode("_items").alias("item"))
+    coded = join_key_stats(long, support, "item", "n_item", total, spread=F.col("_basket"))
+    rows = coded.groupBy("_basket").agg(F.collect_list(F.struct("code", "n_item")).alias("x")).filter(F.size("x") > 1)
+    rows = rows.select(F.col("x.code").alias("code"), F.col("x.n_item").alias("n_item"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Blocks(record_block, ratio)
+        for batch in batches:
+            codes, counts = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            if block.add(codes, np.diff(batch.column(0).offsets.to_numpy()), counts):
+                yield from _sliced(list(block.product()), ["a", "b", "n"])
+        if block.held:
+            yield from _sliced(list(block.product()), ["a", "b", "n"])
+
+    return rows.mapInArrow(products, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
+
+
 def together(
-    baskets: DataFrame, basket: str, items: str, *,
+    baskets: DataFrame, items: str, *,
     min_count: int = 1, min_lift: float = 0.0, min_jaccard: float = 0.0, record_block: int = 200_000,
+    dictionary: int = MAX_DICTIONARY,
 ) -> DataFrame:
     """Pairs of items with the number of baskets that hold both, against chance.
 
@@ -80,7 +167,8 @@ def together(
     ``lift = n_ab * n / (n_a * n_b)`` compares with independent items.
 
     1. Supports ``n_a`` by a map-side combined count.
-    2. Items get numbers and their baskets back as rows of a sparse binary matrix.
+    2. Items get numbers: where their dictionary is small, which is checked, inside
+       the tasks that read the baskets, else by a join that is safe for hot items.
        Items that cannot reach the thresholds are dropped first, exactly: a pair
        has ``n_ab <= min(n_a, n_b)``, hence needs supports of at least
        ``min_count`` and at most ``n / min_lift``, and a support ratio of at least
@@ -94,47 +182,25 @@ def together(
     Sums are exact whatever the order of blocks.
     """
     held = F.array_distinct(F.filter(items, lambda x: x.isNotNull()))
-    sets = cut(baskets.select(F.col(basket).alias("_basket"), held.alias("_items")).filter(F.size("_items") > 0))
+    sets = baskets.select(held.alias("_items")).filter(F.size("_items") > 0)
+    sets = cut(sets.withColumn("_basket", F.monotonically_increasing_id()))
     n = sets.count()
-    long = sets.select("_basket", F.explode("_items").alias("item"))
-    support = long.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+    support = sets.select(F.explode("_items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     support = support.filter(F.col("n_item") >= min_count)
     if min_lift > 0:
         support = support.filter(F.col("n_item") * F.lit(float(min_lift)) <= F.lit(float(n)) + 1e-6)
     support = cut(support.withColumn("code", F.monotonically_increasing_id()))
-    total = support.agg(F.sum("n_item")).first()[0] or 0
-    coded = join_key_stats(long, support, "item", "n_item", float(total), spread=F.col("_basket"))
-    rows = coded.groupBy("_basket").agg(F.collect_list(F.struct("code", "n_item")).alias("x")).filter(F.size("x") > 1)
-    rows = rows.select(F.col("x.code").alias("code"), F.col("x.n_item").alias("n_item"))
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        weights: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            a, b, c = gram_block(np.concatenate(codes), np.concatenate(sizes), np.concatenate(weights), min_jaccard)
-            for s in range(0, len(a), 200_000):
-                part = slice(s, s + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (a, b, c)], names=["a", "b", "n"])
-
-        for batch in batches:
-            codes.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
-            weights.append(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-            sizes.append(np.diff(batch.column(0).offsets.to_numpy()))
-            held += len(codes[-1])
-            if held >= record_block:
-                yield from flush()
-                codes, sizes, weights, held = [], [], [], 0
-        if held:
-            yield from flush()
-
-    partial = rows.mapInArrow(products, "a bigint, b bigint, n bigint")
-    pairs = partial.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).filter(F.col("n_ab") >= min_count)
+    known = support.agg(F.count(F.lit(1)), F.sum("n_item"), F.sum(F.octet_length(F.col("item").cast("string")))).first()
+    if known[0] <= dictionary and (known[2] or 0) <= 32 * dictionary:
+        pairs, support = _products_by_dictionary(sets, support, min_jaccard, record_block)
+        named_by = F.broadcast  # its size has just been checked
+    else:
+        pairs = _products_by_join(sets, support, float(known[1] or 0), min_jaccard, record_block)
+        named_by = lambda df: df
+    pairs = pairs.filter(F.col("n_ab") >= min_count)
     left = support.select(F.col("code").alias("a"), F.col("item").alias("_ia"), F.col("n_item").alias("_na"))
     right = support.select(F.col("code").alias("b"), F.col("item").alias("_ib"), F.col("n_item").alias("_nb"))
-    named = pairs.join(left, "a").join(right, "b")
+    named = pairs.join(named_by(left), "a").join(named_by(right), "b")
     swap = F.col("_ia") > F.col("_ib")
     out = named.select(
         F.when(swap, F.col("_ib")).otherwise(F.col("_ia")).alias("item_a"),

@@ -47,7 +47,7 @@ def _lists(spark: SparkSession, d: str, column: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str, **limits: float) -> DataFrame:
     each = [
-        together(_lists(spark, d, column), "key", "ids", **limits).withColumn("list_name", F.lit(name))
+        together(_lists(spark, d, column), "ids", **limits).withColumn("list_name", F.lit(name))
         for name, column in (("clicked", "clicked_ids"), ("inview", "inview_ids"))
     ]
     return each[0].unionByName(each[1]).withColumnsRenamed({"item_a": "article_a", "item_b": "article_b"})

@@ -88,26 +88,27 @@ def brute_pairs(baskets):
     return len(sets), n, collections.Counter(p for s in sets for p in itertools.combinations(s, 2))
 
 
-def test_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("dictionary", [cooccur.MAX_DICTIONARY, 0])
+def test_pairs_against_brute_force(spark, dictionary):
     rng = random.Random(4)
     items = [f"i{k:02d}" for k in range(30)]
     baskets = [rng.choices([*items, None], [30 / (k + 1) for k in range(31)], k=rng.choice([0, 1, 2, 5, 9, 25])) for _ in range(300)] + [None, [None], items * 3]
     df = spark.createDataFrame(list(enumerate(baskets)), "code bigint, x array<string>")
     n, single, both = brute_pairs(baskets)
-    got = cooccur.together(df, "code", "x", record_block=100).collect()
+    got = cooccur.together(df, "x", record_block=100, dictionary=dictionary).collect()
     assert {(r.item_a, r.item_b): r.n_ab for r in got} == dict(both)
     for r in got:
         assert r.n_baskets == n and (r.n_a, r.n_b) == (single[r.item_a], single[r.item_b])
         assert r.lift == pytest.approx(r.n_ab * n / (r.n_a * r.n_b))
     limits = dict(min_count=4, min_lift=1.1, min_jaccard=0.2)
     want = {p for p, c in both.items() if c >= 4 and c * n >= 1.1 * single[p[0]] * single[p[1]] and c >= 0.2 * (single[p[0]] + single[p[1]] - c)}
-    assert {(r.item_a, r.item_b) for r in cooccur.together(df, "code", "x", **limits).collect()} == want and want
+    assert {(r.item_a, r.item_b) for r in cooccur.together(df, "x", dictionary=dictionary, **limits).collect()} == want and want
 
 
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "k bigint, x array<string>")
-    assert cooccur.together(df, "k", "x").count() == 0
-    assert cooccur.together(spark.createDataFrame([(1, ["a"])], df.schema), "k", "x").count() == 0
+    assert cooccur.together(df, "x").count() == 0
+    assert cooccur.together(spark.createDataFrame([(1, ["a"])], df.schema), "x").count() == 0
 
 
 def test_gram_block_merges(monkeypatch):
