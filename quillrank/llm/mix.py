@@ -117,7 +117,7 @@ def mix_sources(
     before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     edge = blocks.filter((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_n") >= F.col("_left"))).select("_key", F.col("_block").alias("_edge"), "_before")
-    rows = rows.join(edge, "_key", "left")
+    rows = rows.join(F.broadcast(edge) if len(plan) <= 10_000 else edge, "_key", "left")  # at most one row per source
     full = F.when(F.col("left") <= 0, False).when(F.col("_edge").isNull(), True).otherwise(F.col("_block") < F.col("_edge"))
     rows = rows.withColumn("_extra", F.when(full, 1).otherwise(0))
     within = Window.partitionBy("_key", "_block").orderBy("_order", "item").rowsBetween(Window.unboundedPreceding, Window.currentRow)

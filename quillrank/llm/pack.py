@@ -14,6 +14,8 @@ from quillrank.operators.cut import cut
 
 #: Windows that one block of items fills, about.
 WINDOWS_PER_BLOCK = 256
+#: Up to this many kinds of containers are written into the plan.
+MAX_KINDS = 1_000
 
 
 def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, int]:
@@ -136,7 +138,13 @@ def fill_containers(
     kinds = containers.select(F.col(name).alias("container_name"), F.col(capacity).cast("bigint").alias("capacity")).filter(
         F.col("container_name").isNotNull() & (F.col("capacity") > 0)).distinct()
     total = items.agg(F.sum("size")).first()[0] or 0
-    each = items.join(F.broadcast(kinds)) if kinds.limit(1001).count() <= 1000 else items.join(kinds)
+    listed = [r.asDict() for r in kinds.orderBy("container_name", "capacity").limit(MAX_KINDS + 1).collect()]
+    if len(listed) <= MAX_KINDS:
+        made = [F.struct(F.lit(k["container_name"]).alias("container_name"), F.lit(k["capacity"]).cast("bigint").alias("capacity")) for k in listed]
+        every = F.array(*made).cast("array<struct<container_name:string,capacity:bigint>>")
+        each = items.select("*", F.explode(every).alias("_kind")).select("*", "_kind.*").drop("_kind")
+    else:
+        each = items.join(kinds)
     key = ["container_name", "capacity", "item"]
     sized = each.withColumn("_full", F.floor(F.col("size") / F.col("capacity"))).withColumn("_rest", F.col("size") % F.col("capacity"))
     full = sized.filter("_full > 0").select(*key, F.explode(F.sequence(F.lit(0), F.col("_full").cast("int") - 1)).alias("piece_no"),
