@@ -56,9 +56,13 @@ def score_candidates(
 
 
 def long_scores(wide: DataFrame, scorers: tuple[str, ...], keep: tuple[str, ...] = ("impression_id", "pos", "article_id", "label")) -> DataFrame:
-    """One row per candidate and scorer, in one pass over the candidates."""
+    """One row per candidate and scorer, in one pass over the candidates.
+
+    Candidates are shuffled by list before they are multiplied by the scorers; every
+    window and aggregate by list and scorer then finds its rows in place.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("scorer"), F.col(s).cast("double").alias("score")) for s in scorers]))
-    return wide.select(*keep, each.alias("x")).select(*keep, "x.scorer", "x.score")
+    return wide.select(*keep, *scorers).repartition("impression_id").select(*keep, each.alias("x")).select(*keep, "x.scorer", "x.score")
 
 
 METHODS = ("semantic", "bm25", "popularity", "hybrid")
