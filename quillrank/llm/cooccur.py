@@ -13,19 +13,22 @@ from pyspark.sql import functions as F
 from quillrank.operators.cut import cut
 from quillrank.operators.skew import join_key_stats
 
-#: Products are merged whenever a record block has gathered this many entries.
-BLOCK_ENTRIES = 4_000_000
+#: A task merges equal entries of its products, and passes them on, at about this many.
+BLOCK_ENTRIES = 1_000_000
 #: Dictionaries of up to this many items (and 32 bytes an item) are broadcast to the tasks.
 MAX_DICTIONARY = 500_000
 
 
-def gram_block(items: np.ndarray, sizes: np.ndarray, support: np.ndarray | None, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_block(
+    items: np.ndarray, sizes: np.ndarray, support: np.ndarray | None, ratio: float
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Strict upper triangle of ``X' X`` for the binary sparse block ``X`` of some baskets.
 
     ``items`` holds the baskets' distinct item numbers one after another, ``sizes``
     their lengths. Baskets of one length form a dense index block, whose transposed
     product is one triangular gather; equal entries are summed on the way. Entries
-    are left out where the smaller support is under ``ratio`` of the larger.
+    are left out where the smaller support is under ``ratio`` of the larger. The
+    product comes in pieces of bounded size, whose sum it is.
     """
     codes, inverse = np.unique(items, return_inverse=True)
     weight = None
@@ -34,16 +37,16 @@ def gram_block(items: np.ndarray, sizes: np.ndarray, support: np.ndarray | None,
         weight[inverse] = support
     m = np.int64(len(codes))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    keys, counts, held = [], [], 0
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    held = 0
 
-    def merge() -> None:
-        nonlocal keys, counts, held
+    def merged() -> tuple[np.ndarray, np.ndarray]:
         k, c = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(k, kind="stable")
         k = k[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        keys, counts = [k[first]], [np.add.reduceat(c[order], first)]
-        held = len(first)
+        return k[first], np.add.reduceat(c[order], first)
 
     for n in np.unique(sizes):
         if n < 2:
@@ -63,12 +66,15 @@ def gram_block(items: np.ndarray, sizes: np.ndarray, support: np.ndarray | None,
             counts.append(c)
             held += len(k)
             if held > 2 * BLOCK_ENTRIES:
-                merge()
-    if not keys:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    merge()
-    return codes[keys[0] // m], codes[keys[0] % m], counts[0]
+                k, c = merged()
+                if len(k) > BLOCK_ENTRIES:
+                    yield codes[k // m], codes[k % m], c
+                    keys, counts, held = [], [], 0
+                else:
+                    keys, counts, held = [k], [c], len(k)
+    if held:
+        k, c = merged()
+        yield codes[k // m], codes[k % m], c
 
 
 class _Blocks:
@@ -89,10 +95,10 @@ class _Blocks:
         self.held += len(items)
         return self.held >= self.record_block
 
-    def product(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = gram_block(np.concatenate(self.items), np.concatenate(self.sizes), np.concatenate(self.support).astype(np.float64), self.ratio)
+    def product(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        parts = [np.concatenate(x) for x in (self.items, self.sizes, self.support)]
         self.__init__(self.record_block, self.ratio)
-        return out
+        yield from gram_block(parts[0], parts[1], parts[2].astype(np.float64), self.ratio)
 
 
 def _sliced(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +129,11 @@ def _products_by_dictionary(sets: DataFrame, support: DataFrame, ratio: float, r
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[there]
             codes = codes.drop_null().to_numpy().astype(np.int64)
             if block.add(codes, np.bincount(owner, minlength=len(lists)), counts[codes]):
-                a, b, c = block.product()
-                yield from _sliced([(a << 32) | b, c], ["k", "n"])
+                for a, b, c in block.product():
+                    yield from _sliced([(a << 32) | b, c], ["k", "n"])
         if block.held:
-            a, b, c = block.product()
-            yield from _sliced([(a << 32) | b, c], ["k", "n"])
+            for a, b, c in block.product():
+                yield from _sliced([(a << 32) | b, c], ["k", "n"])
 
     summed = sets.select("_items").mapInArrow(products, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n_ab"))
     pairs = summed.select(F.shiftright("k", 32).alias("a"), F.col("k").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n_ab")
@@ -147,9 +153,11 @@ def _products_by_join(sets: DataFrame, support: DataFrame, total: float, ratio:
         for batch in batches:
             codes, counts = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
             if block.add(codes, np.diff(batch.column(0).offsets.to_numpy()), counts):
-                yield from _sliced(list(block.product()), ["a", "b", "n"])
+                for part in block.product():
+                    yield from _sliced(list(part), ["a", "b", "n"])
         if block.held:
-            yield from _sliced(list(block.product()), ["a", "b", "n"])
+            for part in block.product():
+                yield from _sliced(list(part), ["a", "b", "n"])
 
     return rows.mapInArrow(products, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
 
