@@ -1,9 +1,9 @@
-"""Most similar vectors by a permutation index (problem 5).
+"""Most similar vectors (problem 5): close pairs by an exact blocked product, neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots. Vectors that point
-the same way see the pivots in nearly the same order, so a vector is posted under
-its first few pivots, candidates come from shared postings, and they are ranked by
-the footrule distance of their pivot orders before exact cosines are computed.
+In the index a vector is represented by the order of its nearest pivots. Vectors that point
+the same way see the pivots in nearly the same order, so candidates come from shared
+postings and are ranked by the footrule distance of their pivot orders before exact
+cosines are computed.
 
 With weight ``w = prefix - place`` for the pivots in a vector's prefix (0 for all
 others) the footrule distance of two prefixes, missing pivots placed at the end, is
@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 from quillrank.functions.vectors import divide, norm
 from quillrank.operators.cut import cut
 
-#: Pivots are at most this many, which bounds what every task holds (64 dimensions: 4 MB).
-MAX_PIVOTS = 16_384
-#: Posting lists are worked on in chunks of about this many vectors.
-CHUNK = 2_000
+#: Vectors of a block of the exact product; a task holds two (64 dimensions: 25 MB in both precisions).
+CHUNK = 16_000
 
 
 def usable_vectors(rows: DataFrame, item: str, vector: str, dim: int) -> DataFrame:
@@ -53,11 +51,6 @@ def choose_pivots(units: DataFrame, item: str, count: int) -> np.ndarray:
     return np.array([np.array(v, np.float64) / n for v, n in rows], np.float32)
 
 
-def pivot_count(n: int) -> int:
-    """Pivots grow with the square root of the collection, so posting lists do too."""
-    return max(1, min(MAX_PIVOTS, n, 8 * math.isqrt(max(n, 1))))
-
-
 def pivot_orders(units: DataFrame, item: str, pivots: np.ndarray, prefix: int) -> DataFrame:
     """``(item, pivots array<int>)``: the nearest ``prefix`` pivots, nearest first, ties by number."""
     kind = units.schema[item].dataType.simpleString()
@@ -73,12 +66,7 @@ def pivot_orders(units: DataFrame, item: str, pivots: np.ndarray, prefix: int) -
             out = np.empty((n, prefix), np.int32)
             for s in range(0, n, 2000):
                 sims = x[s : s + 2000] @ pivots.T
-                if prefix < len(pivots):
-                    top = np.sort(np.argpartition(-sims, prefix - 1, axis=1)[:, :prefix], axis=1)
-                else:
-                    top = np.tile(np.arange(prefix), (len(sims), 1))
-                by = np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable")
-                out[s : s + 2000] = np.take_along_axis(top, by, 1)
+                out[s : s + 2000] = np.argsort(-sims, axis=1, kind="stable")[:, :prefix]
             offsets = pa.array(np.arange(0, n * prefix + 1, prefix, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=[item, "pivots"])
 
@@ -104,65 +92,50 @@ def closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _posting_blocks(orders: DataFrame, item: str, lists: int, chunks: DataFrame) -> DataFrame:
-    """Postings under the first ``lists`` pivots, repeated for the chunk pairs they belong to."""
-    posted = orders.select(item, "pivots", F.explode(F.slice("pivots", 1, lists)).alias("pivot"))
-    posted = posted.join(F.broadcast(chunks), "pivot")  # one row per pivot: at most MAX_PIVOTS
-    posted = posted.withColumn("_own", F.pmod(F.xxhash64(item), F.col("chunks")).cast("int"))
-    posted = posted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return posted.select(item, "pivots", "pivot", "_own", F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"))
-
-
-def close_pairs(
-    units: DataFrame, item: str, min_cosine: float, *, lists: int = 5, prefix: int = 16, min_share: float = 0.42, chunk: int = CHUNK
-) -> DataFrame:
+def close_pairs(units: DataFrame, item: str, min_cosine: float, *, chunk: int = CHUNK) -> DataFrame:
     """All pairs ``item_a < item_b`` of vectors with at least ``min_cosine``: ``(item_a, item_b, cosine)``.
 
-    ``units`` comes from :func:`usable_vectors`. Candidates share one of their first
-    ``lists`` pivots and have a footrule closeness of at least ``min_share`` of that
-    of equal orders; the exact cosine decides. Posting lists longer than ``chunk`` are cut into
-    chunks of which every two meet in a task of their own, so a hot pivot adds
-    tasks and not a longer task; nothing is capped.
+    ``units`` comes from :func:`usable_vectors`. The result is exact whatever the vectors'
+    distribution: a hash cuts them into blocks of about ``chunk``, and every two blocks
+    meet in a task, so the work grows with the square of the collection. Products in
+    single precision, with room for their rounding, leave few pairs for the exact cosine.
     """
     units = cut(units)
     n = units.count()
     kind = units.schema[item].dataType.simpleString()
     if n < 2:
         return units.sparkSession.createDataFrame([], f"item_a {kind}, item_b {kind}, cosine double")
-    orders = cut(pivot_orders(units, item, choose_pivots(units, item, pivot_count(n)), prefix))
-    listed = orders.select(F.explode(F.slice("pivots", 1, lists)).alias("pivot")).groupBy("pivot").count()
-    chunks = cut(listed.select("pivot", F.ceil(F.col("count") / F.lit(chunk)).cast("int").alias("chunks")))
-    posted = _posting_blocks(orders, item, lists, chunks)
-    least = math.ceil(min_share * prefix * (prefix + 1) / 2) if pivot_count(n) >= prefix else 0
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, own = pdf[item].to_numpy(), pdf["_own"].to_numpy()
-        order = np.array(pdf["pivots"].tolist(), np.int32).reshape(len(pdf), -1)
-        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        a, b = (np.flatnonzero(own == bi), np.flatnonzero(own == bj)) if bi != bj else (np.arange(len(own)),) * 2
-        found_a, found_b = [], []
-        for s in range(0, len(a), 1000):
-            near = closeness(order[a[s : s + 1000]], order[b]) >= least
-            i, j = np.nonzero(near)
-            i, j = a[s + i], b[j]
-            ok = i < j if bi == bj else np.ones(len(i), bool)
-            found_a.append(ids[i[ok]])
-            found_b.append(ids[j[ok]])
-        x, y = np.concatenate(found_a), np.concatenate(found_b)
-        return pd.DataFrame({"x": x, "y": y}).drop_duplicates()
-
-    found = posted.groupBy("pivot", "bi", "bj").applyInPandas(compare, f"x {kind}, y {kind}")
-    pairs = found.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()
-    return rerank(pairs, units, item).filter(F.col("cosine") >= min_cosine)
-
-
-def rerank(pairs: DataFrame, units: DataFrame, item: str) -> DataFrame:
-    """Exact cosine of every pair, computed on the JVM side."""
-    a = units.select(F.col(item).alias("item_a"), F.col("vec").alias("_va"), F.col("norm").alias("_na"))
-    b = units.select(F.col(item).alias("item_b"), F.col("vec").alias("_vb"), F.col("norm").alias("_nb"))
-    parts = F.zip_with("_va", "_vb", lambda x, y: (x / F.col("_na")) * (y / F.col("_nb")))
-    dot = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
-    return pairs.join(a, "item_a").join(b, "item_b").select("item_a", "item_b", dot.alias("cosine"))
+    blocks = -(-n // chunk)
+    rows = units.withColumn("_own", F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(item, "vec", "norm", "_own", F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        ids, own = t.column(item), t.column("_own").to_numpy()
+        flat = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        x = flat.reshape(t.num_rows, -1) / t.column("norm").to_numpy()[:, None]
+        low = x.astype(np.float32)
+        least = min_cosine - 1.2e-7 * (x.shape[1] + 4)
+        one = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
+        a = np.flatnonzero(own == t.column("bi")[0].as_py())
+        b = a if one else np.flatnonzero(own == t.column("bj")[0].as_py())
+        right = low[b]
+        for s in range(0, len(a), 500):
+            # within one block only later rows
+            start = s if one else 0
+            i, j = np.nonzero(low[a[s : s + 500]] @ right[start:].T >= least)
+            i, j = a[s + i], b[start + j]
+            if one:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 50_000):
+                p, q = i[k : k + 50_000], j[k : k + 50_000]
+                cosine = np.einsum("ij,ij->i", x[p], x[q])
+                ok = cosine >= min_cosine
+                p, q = (ids.take(pa.array(r[ok])).combine_chunks() for r in (p, q))
+                yield pa.RecordBatch.from_arrays([p, q, pa.array(cosine[ok])], names=["x", "y", "cosine"])
+
+    found = rows.groupBy("bi", "bj").applyInArrow(compare, f"x {kind}, y {kind}, cosine double")
+    return found.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), "cosine")
 
 
 def nearest(

@@ -177,6 +177,21 @@ def test_close_pairs_against_brute_force(spark):
         assert set(found) <= want and len(found) >= 0.99 * len(want)
 
 
+def test_close_pairs_in_a_dense_cluster(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1800, 64))
+    x[:600] = rng.normal(size=64) + rng.normal(size=(600, 64)) * 0.2  # a third of the vectors, most of its pairs close
+    x[600:640] = x[5]
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(np.triu(u @ u.T, 1) >= 0.95))}
+    assert len(want) > 50_000
+    units = permindex.usable_vectors(vectors(spark, x), "id", "vec", 64)
+    for chunk in (16_000, 700):
+        found = [(r.item_a, r.item_b) for r in permindex.close_pairs(units, "id", 0.95, chunk=chunk).collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_footrule_identity():
     rng = np.random.default_rng(1)
     a, b = (np.stack([rng.permutation(30)[:8] for _ in range(n)]) for n in (20, 25))
