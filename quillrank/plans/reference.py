@@ -244,7 +244,7 @@ def feature_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, n_clicks::INT AS n_clicks FROM prof JOIN su USING (user_id, split)")
 def profiles_semi(spark: SparkSession, d: str) -> DataFrame:
-    users = base.test_sample(spark, d).select("user_id", "split").distinct()
+    users = base.split(spark, d, "test").select("user_id", "split").distinct()
     return base.profiles(spark, d).join(users, ["user_id", "split"], "left_semi").select("user_id", "n_clicks")
 
 
@@ -257,12 +257,12 @@ def sample_n(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT article_id FROM art WHERE article_id IN (SELECT unnest(inview_ids) FROM samp)")
 def pool_circulating(spark: SparkSession, d: str) -> DataFrame:
-    return ft.build_pool(base.articles(spark, d), base.test_sample(spark, d), "circulating")[0]
+    return ft.build_pool(base.articles(spark, d), base.split(spark, d, "test"), "circulating")[0]
 
 
 @query("""SELECT article_id FROM art WHERE published_time <= (SELECT max("timestamp") FROM samp)""")
 def pool_fresh(spark: SparkSession, d: str) -> DataFrame:
-    return ft.build_pool(base.articles(spark, d), base.test_sample(spark, d), "fresh")[0]
+    return ft.build_pool(base.articles(spark, d), base.split(spark, d, "test"), "fresh")[0]
 
 
 @query("SELECT article_id, term, tf, round(weight, 6) AS weight FROM post")
@@ -277,29 +277,29 @@ def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM qt")
 def bm25_queries(spark: SparkSession, d: str) -> DataFrame:
-    return lx.query_terms(base.clicks(spark, d, base.test_sample(spark, d)), base.tokens(spark, d))
+    return lx.query_terms(base.clicks(spark, d, base.split(spark, d, "test")), base.tokens(spark, d))
 
 
 _BM25_TOP = """SELECT user_id, split, article_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, split ORDER BY score DESC, article_id) AS rank FROM
   (SELECT user_id, split, article_id, round(sum(qtf * weight), 9) AS score FROM qt JOIN post USING (term) {where} GROUP BY ALL)) WHERE rank <= {k}"""
 
 
-def _retrieve(spark: SparkSession, d: str, k: int, pool: str = "all") -> DataFrame:
-    features, sample = cut(base.tokens(spark, d)), base.test_sample(spark, d)
-    ids = ft.build_pool(base.articles(spark, d), sample, pool)[0]
-    return lx.retrieve(lx.query_terms(base.clicks(spark, d, sample), features), lx.postings(features), ids, k)
+def _retrieve(spark: SparkSession, d: str, impressions: DataFrame, k: int, pool: str = "all") -> DataFrame:
+    features = cut(base.tokens(spark, d))
+    ids = ft.build_pool(base.articles(spark, d), impressions, pool)[0]
+    return lx.retrieve(lx.query_terms(base.clicks(spark, d, impressions), features), lx.postings(features), ids, k)
 
 
 @query("SELECT user_id, article_id, round(score, 6) AS score, rank::INT AS rank FROM (" + _BM25_TOP.format(where="", k=50) + ")")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _retrieve(spark, d, 50).select("user_id", "article_id", _r("score"), "rank")
+    return _retrieve(spark, d, base.split(spark, d, "test"), 50).select("user_id", "article_id", _r("score"), "rank")
 
 
 @query("SELECT user_id, article_id, round(coalesce(s, 0), 6) AS bm25 FROM pairs LEFT JOIN (SELECT user_id, split, article_id, sum(qtf * weight) AS s FROM pairs JOIN post USING (article_id) JOIN qt USING (user_id, split, term) GROUP BY ALL) USING (user_id, split, article_id)")
 def bm25_score_pairs(spark: SparkSession, d: str) -> DataFrame:
-    features, sample = cut(base.tokens(spark, d)), base.test_sample(spark, d)
-    pairs = _pairs(sample)
-    return lx.score_pairs(pairs, lx.query_terms(base.clicks(spark, d, sample), features), lx.postings(features)).select("user_id", "article_id", _r("bm25"))
+    features, test = cut(base.tokens(spark, d)), base.split(spark, d, "test")
+    pairs = _pairs(test)
+    return lx.score_pairs(pairs, lx.query_terms(base.clicks(spark, d, test), features), lx.postings(features)).select("user_id", "article_id", _r("bm25"))
 
 
 _RECALL = """, got AS ({top}), c AS (SELECT user_id, split, unnest(clicked_ids) AS article_id FROM samp JOIN (SELECT user_id, split FROM prof) USING (user_id, split))
@@ -314,7 +314,7 @@ def _recall(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
 
 @query(_RECALL.format(top=_BM25_TOP.format(where="WHERE article_id IN (SELECT unnest(inview_ids) FROM samp)", k=200)))
 def recall_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _recall(spark, d, _retrieve(spark, d, 200, "circulating"))
+    return _recall(spark, d, _retrieve(spark, d, base.test_sample(spark, d), 200, "circulating"))
 
 
 # vectors --------------------------------------------------------------------------------
@@ -335,7 +335,7 @@ def _user_vector_cells(users: DataFrame) -> DataFrame:
 
 @query("SELECT user_id, generate_subscripts(unit, 1)::INT - 1 AS i, round(unnest(unit), 6) AS x FROM uv")
 def user_vec_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _user_vector_cells(sm.user_vectors(base.clicks(spark, d, base.test_sample(spark, d)), base.units(spark, d), base.DIM))
+    return _user_vector_cells(sm.user_vectors(base.clicks(spark, d, base.split(spark, d, "test")), base.units(spark, d), base.DIM))
 
 
 @query(""", kc AS (SELECT user_id, split, unit, row_number() OVER (PARTITION BY user_id, split ORDER BY age) - 1 AS k FROM clk JOIN vec USING (article_id)),
@@ -343,42 +343,42 @@ def user_vec_mean(spark: SparkSession, d: str) -> DataFrame:
   m AS (SELECT user_id, split, i, sum(w * x) / sum(w) AS m FROM e GROUP BY ALL), l AS (SELECT user_id, split, list(m ORDER BY i) AS m FROM m GROUP BY ALL)
 SELECT user_id, generate_subscripts(m, 1)::INT - 1 AS i, round(unnest(m) / greatest(sqrt(list_sum(list_transform(m, lambda x: x * x))), 1e-12), 6) AS x FROM l""")
 def user_vec_recency(spark: SparkSession, d: str) -> DataFrame:
-    return _user_vector_cells(sm.user_vectors(base.clicks(spark, d, base.test_sample(spark, d)), base.units(spark, d), base.DIM, half_life=5.0))
+    return _user_vector_cells(sm.user_vectors(base.clicks(spark, d, base.split(spark, d, "test")), base.units(spark, d), base.DIM, half_life=5.0))
 
 
 _SEM_TOP = """SELECT user_id, split, article_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, split ORDER BY score DESC, article_id) AS rank FROM
   (SELECT uv.user_id, uv.split, vec.article_id, round(list_dot_product(uv.unit, vec.unit), 9) AS score FROM uv JOIN vec ON has_vector AND list_sum(list_transform(uv.unit, lambda x: x * x)) > 1e-24 {where})) WHERE rank <= {k}"""
 
 
-def _sem_inputs(spark: SparkSession, d: str, pool: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sample, units = base.test_sample(spark, d), cut(base.units(spark, d))
-    ids = ft.build_pool(base.articles(spark, d), sample, pool)[0]
-    return sm.user_vectors(base.clicks(spark, d, sample), units, base.DIM), units, ids
+def _sem_inputs(spark: SparkSession, d: str, impressions: DataFrame, pool: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    units = cut(base.units(spark, d))
+    ids = ft.build_pool(base.articles(spark, d), impressions, pool)[0]
+    return sm.user_vectors(base.clicks(spark, d, impressions), units, base.DIM), units, ids
 
 
-def _sem(spark: SparkSession, d: str, k: int, pool: str) -> DataFrame:
-    return sm.retrieve_vectors(*_sem_inputs(spark, d, pool), k)
+def _sem(spark: SparkSession, d: str, impressions: DataFrame, k: int, pool: str) -> DataFrame:
+    return sm.retrieve_vectors(*_sem_inputs(spark, d, impressions, pool), k)
 
 
 @query("SELECT user_id, article_id, round(score, 6) AS score, rank::INT AS rank FROM (" + _SEM_TOP.format(where="", k=10) + ")")
 def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _sem(spark, d, 10, "all").select("user_id", "article_id", _r("score"), "rank")
+    return _sem(spark, d, base.split(spark, d, "test"), 10, "all").select("user_id", "article_id", _r("score"), "rank")
 
 
 @query(_RECALL.format(top=_SEM_TOP.format(where="AND vec.article_id IN (SELECT unnest(inview_ids) FROM samp)", k=200)))
 def recall_semantic(spark: SparkSession, d: str) -> DataFrame:
-    return _recall(spark, d, _sem(spark, d, 200, "circulating"))
+    return _recall(spark, d, _sem(spark, d, base.test_sample(spark, d), 200, "circulating"))
 
 
 @query()
 def ann_agreement(spark: SparkSession, d: str) -> DataFrame:
-    users, units, ids = _sem_inputs(spark, d, "all")
+    users, units, ids = _sem_inputs(spark, d, base.split(spark, d, "test"), "all")
     users = cut(users)
     return sm.agreement(sm.retrieve_vectors(users, units, ids, 20), sm.retrieve_approximate(users, units, ids, 20))
 
 
-def _pairs(sample: DataFrame) -> DataFrame:
-    long = sp.explode_candidates(sample, ("split",))
+def _pairs(impressions: DataFrame) -> DataFrame:
+    long = sp.explode_candidates(impressions, ("split",))
     return long.select("user_id", "split", "article_id").filter(F.col("user_id").isNotNull()).distinct()
 
 
@@ -387,14 +387,14 @@ def _pairs(sample: DataFrame) -> DataFrame:
   m AS (SELECT user_id, split, article_id, avg(s) AS s FROM r WHERE rn <= 5 GROUP BY ALL)
 SELECT user_id, article_id, round(coalesce(s, 0), 6) AS semantic FROM pairs LEFT JOIN m USING (user_id, split, article_id)""")
 def semantic_topk_pool(spark: SparkSession, d: str) -> DataFrame:
-    sample = base.test_sample(spark, d)
-    return sm.topk_pair_scores(_pairs(sample), base.clicks(spark, d, sample), base.units(spark, d)).select("user_id", "article_id", _r("semantic"))
+    test = base.split(spark, d, "test")
+    return sm.topk_pair_scores(_pairs(test), base.clicks(spark, d, test), base.units(spark, d)).select("user_id", "article_id", _r("semantic"))
 
 
 @query("SELECT p.user_id, p.article_id, round(coalesce(list_dot_product(uv.unit, vec.unit), 0), 6) AS semantic FROM pairs p LEFT JOIN uv USING (user_id, split) LEFT JOIN vec ON vec.article_id = p.article_id")
 def semantic_mean_pairs(spark: SparkSession, d: str) -> DataFrame:
-    sample, units = base.test_sample(spark, d), base.units(spark, d)
-    return sm.mean_pair_scores(_pairs(sample), sm.user_vectors(base.clicks(spark, d, sample), units, base.DIM), units).select("user_id", "article_id", _r("semantic"))
+    test, units = base.split(spark, d, "test"), base.units(spark, d)
+    return sm.mean_pair_scores(_pairs(test), sm.user_vectors(base.clicks(spark, d, test), units, base.DIM), units).select("user_id", "article_id", _r("semantic"))
 
 
 # scorers --------------------------------------------------------------------------------
@@ -406,13 +406,13 @@ def score_random(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT impression_id, pos, coalesce(train_clicks, 0)::DOUBLE AS popularity FROM cand LEFT JOIN pop USING (article_id)")
 def score_popularity(spark: SparkSession, d: str) -> DataFrame:
-    candidates = sp.explode_candidates(base.test_sample(spark, d))
+    candidates = sp.explode_candidates(base.split(spark, d, "test"))
     return sc.score_popularity(candidates, base.popularity(spark, d)).select("impression_id", "pos", "popularity")
 
 
 @query("SELECT * FROM pop WHERE article_id IN (SELECT unnest(inview_ids) FROM samp) ORDER BY train_clicks DESC, article_id LIMIT 100")
 def popularity_topk(spark: SparkSession, d: str) -> DataFrame:
-    pool = ft.build_pool(base.articles(spark, d), base.test_sample(spark, d), "circulating")[0]
+    pool = ft.build_pool(base.articles(spark, d), base.split(spark, d, "test"), "circulating")[0]
     return sc.popularity_topk(base.popularity(spark, d), 100, pool)
 
 
@@ -448,10 +448,10 @@ def score_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _score_all(spark: SparkSession, d: str, pooling: str = "mean") -> DataFrame:
-    sample, features = cut(base.test_sample(spark, d)), cut(base.tokens(spark, d))
-    clicks = cut(base.clicks(spark, d, sample))
+    test, features = cut(base.split(spark, d, "test")), cut(base.tokens(spark, d))
+    clicks = cut(base.clicks(spark, d, test))
     return sc.score_candidates(
-        sp.explode_candidates(sample, ("split",)), popularity=base.popularity(spark, d), clicks=clicks,
+        sp.explode_candidates(test, ("split",)), popularity=base.popularity(spark, d), clicks=clicks,
         queries=lx.query_terms(clicks, features), index=lx.postings(features), units=base.units(spark, d), dim=base.DIM, pooling=pooling)
 
 
@@ -606,11 +606,11 @@ def submission_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _infer(spark: SparkSession, d: str, n: int) -> DataFrame:
     """Ranks per impression row, without labels: the row's user and its last ``n`` clicks."""
-    sample = base.test_sample(spark, d)
+    test = base.split(spark, d, "test")
     units = base.units(spark, d)
-    clicks = ft.recent_clicks(base.history(spark, d), base.chosen(spark, d), n, sample.select("user_id", "split"))
-    candidates = sp.explode_candidates(sample, ("split",)).drop("label")
-    scored = sm.mean_pair_scores(_pairs(sample), sm.user_vectors(clicks, units, base.DIM), units)
+    clicks = ft.recent_clicks(base.history(spark, d), base.chosen(spark, d), n, test.select("user_id", "split"))
+    candidates = sp.explode_candidates(test, ("split",)).drop("label")
+    scored = sm.mean_pair_scores(_pairs(test), sm.user_vectors(clicks, units, base.DIM), units)
     wide = candidates.join(scored, ["user_id", "split", "article_id"], "left")
     return wide.withColumn("score", F.round(F.coalesce("semantic", F.lit(0.0)), 9))
 

@@ -24,6 +24,18 @@ def test_gives_rows(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+WHOLE_TEST = (
+    "infer_raw infer_no_profile score_split score_popularity bm25_queries bm25_topk bm25_score_pairs user_vec_mean user_vec_recency "
+    "semantic_topk semantic_topk_pool semantic_mean_pairs popularity_topk profiles_semi pool_circulating pool_fresh").split()
+
+
+@pytest.mark.parametrize("name", WHOLE_TEST)
+def test_no_sample_of_the_test_split(spark, data, con, name, monkeypatch):
+    monkeypatch.setattr(reference.base, "SAMPLE", 3)
+    assert reference.sample_n(spark, data).count() == 3
+    assert_same(QUERIES[name](spark, data), con, ORACLE[name])
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
 
