@@ -36,6 +36,13 @@ def test_no_sample_of_the_test_split(spark, data, con, name, monkeypatch):
     assert_same(QUERIES[name](spark, data), con, ORACLE[name])
 
 
+def test_whole_history_as_of(spark, data):
+    pairs = QUERIES["p7_history"](spark, data).select("impression_id", "article_id")
+    best = QUERIES["p7_found"](spark, data)
+    assert best.exceptAll(pairs.distinct()).count() == 0
+    assert pairs.count() > QUERIES["p7_attributes"](spark, data).count()
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
 
