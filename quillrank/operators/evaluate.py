@@ -90,7 +90,8 @@ def poisson_intervals(metrics: DataFrame, slices: DataFrame, names: tuple[str, .
         cdf += term
         weight = weight + F.when(u > cdf, 1).otherwise(0)
         term /= k + 1
-    means = draws.withColumn("_w", weight).groupBy("scorer", "slice", "metric", "_b").agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("_m"))
+    total = F.sum("_w")  # in a small group all weights of a draw can be 0
+    means = draws.withColumn("_w", weight).groupBy("scorer", "slice", "metric", "_b").agg((F.sum(F.col("_w") * F.col("value")) / F.when(total > 0, total)).alias("_m"))
     return means.groupBy("scorer", "slice", "metric").agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"))
 
 

@@ -557,11 +557,20 @@ def metric_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    sampled = sp.sample_n(_slices(spark, d).select("impression_id").distinct(), base.SAMPLE)
-    found = ev.intervals(_accuracy(spark, d).join(sampled, "impression_id", "left_semi"), _slices(spark, d))
+    accuracy, slices = cut(_accuracy(spark, d)), _slices(spark, d)
+    # of the lists that have scores and a slice
+    lists = accuracy.select("impression_id").distinct().join(slices, "impression_id", "left_semi")
+    sampled = sp.sample_n(lists, base.SAMPLE)
+    found = ev.intervals(accuracy.join(sampled, "impression_id", "left_semi"), slices)
     return found.select("scorer", "slice", "metric", _r("value"), _r("ci_low"), _r("ci_high"), "n")
 
 
+@query()
+def poisson_ci(spark: SparkSession, d: str) -> DataFrame:
+    found = ev.poisson_intervals(_accuracy(spark, d), _slices(spark, d))
+    return found.select("scorer", "slice", "metric", _r("ci_low"), _r("ci_high"))
+
+
 _ALL_METRICS = " UNION ALL ".join(
     [f"SELECT scorer, impression_id, '{m}' AS metric, {m} AS value FROM acc" for m in ("auc", "mrr", "ndcg_5", "ndcg_10")]
     + ["SELECT scorer, impression_id, 'diversity', diversity FROM (SELECT DISTINCT scorer, impression_id FROM top) LEFT JOIN dv USING (scorer, impression_id)",

@@ -43,6 +43,21 @@ def test_whole_history_as_of(spark, data):
     assert pairs.count() > QUERIES["p7_attributes"](spark, data).count()
 
 
+def test_bootstrap_samples_scored_lists(spark, data, monkeypatch):
+    scored = reference._accuracy(spark, data).select("impression_id").distinct()
+    n = scored.join(reference._slices(spark, data), "impression_id", "left_semi").count()
+    monkeypatch.setattr(reference.base, "SAMPLE", n - 1)
+    found = {r.n for r in QUERIES["bootstrap_ci"](spark, data).filter("slice = 'all' AND metric = 'mrr'").collect()}
+    assert found == {n - 1}
+
+
+def test_poisson_intervals_take_all_lists(spark, data):
+    means = {(r.scorer, r.slice, r.metric): r.value for r in QUERIES["metric_summary"](spark, data).filter("value IS NOT NULL").collect()}
+    found = {(r.scorer, r.slice, r.metric): (r.ci_low, r.ci_high) for r in QUERIES["poisson_ci"](spark, data).collect()}
+    assert set(found) == set(means)
+    assert all(low <= means[k] <= high for k, (low, high) in found.items() if k[1] == "all")
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
 
