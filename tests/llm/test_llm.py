@@ -27,6 +27,13 @@ def test_gives_rows(spark, data, name):
 
 # 1 --------------------------------------------------------------------------------------
 
+def test_p1_found_where_the_model_has_zero(spark, tmp_path):
+    rows = [("N1", "", "quorum " * 2000), ("N2", "quorum quorum quorum", "minister harbour election"), ("N3", "harbour", "ballot")]
+    spark.createDataFrame(rows, "article_id string, title string, abstract string").write.parquet(f"{tmp_path}/articles.parquet")
+    found = {(r.article_id, r.term) for r in queries.p1_found(spark, str(tmp_path)).collect()}
+    assert found == {("N1", "quorum"), ("N2", "quorum")}
+
+
 def brute_terms(texts, share, floor, rounds=60, tol=1e-6):
     counted = {k: collections.Counter(re.findall(r"[^\W\d_]{4,}", unicodedata.normalize("NFC", t).lower())) for k, t in texts.items()}
     cf = sum(counted.values(), collections.Counter())
