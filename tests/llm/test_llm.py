@@ -179,9 +179,12 @@ def test_close_pairs_against_brute_force(spark):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = np.triu(u @ u.T, 1)
     want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(s >= 0.95))}
-    for chunk in (2_000, 15):
-        found = {(r.item_a, r.item_b): r.cosine for r in permindex.close_pairs(units, "id", 0.95, chunk=chunk).collect()}
+    for posting in (2_000, 15):
+        found = {(r.item_a, r.item_b): r.cosine for r in permindex.close_pairs(units, "id", 0.95, posting=posting).collect()}
         assert set(found) <= want and len(found) >= 0.99 * len(want)
+    for chunk in (2_000, 15):
+        exact = permindex.close_pairs_exhaustive(units, "id", 0.95, chunk=chunk).collect()
+        assert len(exact) == len(want) and {(r.item_a, r.item_b) for r in exact} == want
 
 
 def test_close_pairs_in_a_dense_cluster(spark):
@@ -194,11 +197,34 @@ def test_close_pairs_in_a_dense_cluster(spark):
     want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(np.triu(u @ u.T, 1) >= 0.95))}
     assert len(want) > 50_000
     units = permindex.usable_vectors(vectors(spark, x), "id", "vec", 64)
+    for posting in (16_000, 100):
+        found = [(r.item_a, r.item_b) for r in permindex.close_pairs(units, "id", 0.95, posting=posting).collect()]
+        assert len(found) == len(want) and set(found) == want
     for chunk in (16_000, 700):
-        found = [(r.item_a, r.item_b) for r in permindex.close_pairs(units, "id", 0.95, chunk=chunk).collect()]
+        found = [(r.item_a, r.item_b) for r in permindex.close_pairs_exhaustive(units, "id", 0.95, chunk=chunk).collect()]
         assert len(found) == len(want) and set(found) == want
 
 
+def test_pivot_orders_break_ties_by_number():
+    rng = np.random.default_rng(8)
+    pivots = np.repeat(rng.normal(size=(12, 5)), 3, axis=0).astype(np.float32)  # every pivot three times
+    x = rng.normal(size=(50, 5)).astype(np.float32)
+    assert (permindex.pivot_orders(x, pivots, 7) == np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :7]).all()
+    assert permindex.pivot_orders(x, pivots, 99).shape == (50, 36)
+
+
+def test_pivots_are_spread_out():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3_000, 6))
+    x[1000:2000] = x[0] + rng.normal(size=(1000, 6)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    kept = permindex.spread_out(x, 3_000)
+    close = kept @ kept.T
+    np.fill_diagonal(close, 0)
+    assert close.max() < permindex.PIVOT_SPREAD and ((x @ kept.T).max(axis=1) >= permindex.PIVOT_SPREAD - 1e-9).all()
+    assert len(permindex.spread_out(x, 7)) == 7
+
+
 def test_footrule_identity():
     rng = np.random.default_rng(1)
     a, b = (np.stack([rng.permutation(30)[:8] for _ in range(n)]) for n in (20, 25))
@@ -215,7 +241,8 @@ def test_nearest_recall(spark):
     x = rng.normal(size=(1500, 64))
     units = permindex.usable_vectors(vectors(spark, x), "id", "vec", 64)
     asked = units.filter(F.substring("id", 2, 4).cast("int") % 50 == 0).select("id")
-    got = permindex.nearest(asked, units, "id", 10, row_block=400, query_block=11).collect()
+    exact = permindex.nearest(asked, units, "id", 10, exhaustive=True, posting=40).collect()
+    got = permindex.nearest(asked, units, "id", 10, posting=40).collect()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
@@ -227,6 +254,7 @@ def test_nearest_recall(spark):
     for i in range(0, 1500, 50):
         hits += len({f"v{j:04d}" for j in np.argsort(-s[i])[:10]} & mine[f"v{i:04d}"])
     assert all(len(v) == 10 for v in mine.values()) and hits / 300 >= 0.9
+    assert {(r.query, r.neighbour) for r in exact} == {(f"v{i:04d}", f"v{j:04d}") for i in range(0, 1500, 50) for j in np.argsort(-s[i])[:10]}
 
 
 def test_vectors_of_nothing(spark):
