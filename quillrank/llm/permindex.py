@@ -273,17 +273,20 @@ def close_pairs(
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     found = cut(posted.groupBy("group", "bi", "bj").applyInArrow(compare, "a bigint, b bigint").distinct())
-    a, b = _picked(found, units, item, "a"), _picked(found, units, item, "b")
+    a, b = _picked(found, units, item)
     pairs = found.join(a, "a").join(b, "b").withColumn("cosine", _cosine("_va", "_na", "_vb", "_nb")).filter(F.col("cosine") >= min_cosine)
     return pairs.select(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b"), "cosine")
 
 
-def _picked(found: DataFrame, units: DataFrame, item: str, side: str) -> DataFrame:
-    """Items and vectors of the rows on one side of candidate pairs."""
-    wanted = found.select(side).distinct()
-    rows = units.select(F.col("_row").alias(side), F.col(item).alias(f"item_{side}"), F.col("vec").alias(f"_v{side}"), F.col("norm").alias(f"_n{side}"))
-    # few rows out of many are picked where they are read
-    return rows.join(F.broadcast(wanted), side, "left_semi") if wanted.count() <= MAX_PICKED else rows
+def _picked(found: DataFrame, units: DataFrame, item: str) -> list[DataFrame]:
+    """Items and vectors of the rows on either side of candidate pairs."""
+    few = found.count() <= MAX_PICKED
+    sides = []
+    for side in ("a", "b"):
+        rows = units.select(F.col("_row").alias(side), F.col(item).alias(f"item_{side}"), F.col("vec").alias(f"_v{side}"), F.col("norm").alias(f"_n{side}"))
+        # few rows out of many are picked where they are read
+        sides.append(rows.join(F.broadcast(found.select(side).distinct()), side, "left_semi") if few else rows)
+    return sides
 
 
 def _cosine(va: str, na: str, vb: str, nb: str) -> Column:
@@ -338,7 +341,7 @@ def close_pairs_exhaustive(units: DataFrame, item: str, min_cosine: float, *, ch
 # nearest neighbours ---------------------------------------------------------------------
 
 def nearest(
-    queries: DataFrame, units: DataFrame, item: str, k: int, *, lists: int = 4, prefix: int = 16, probes: int = 96, keep: float = 0.5,
+    queries: DataFrame, units: DataFrame, item: str, k: int, *, lists: int = 4, prefix: int = 16, probes: int = 128, keep: float = 0.6,
     posting: int = POSTING, exhaustive: bool = False,
 ) -> DataFrame:
     """The ``k`` most similar other vectors for every query item.
@@ -424,7 +427,8 @@ def nearest(
     worst = F.min(F.when(F.col("_at") == k, F.col("low"))).over(Window.partitionBy("a"))
     some = parts.withColumn("_at", F.row_number().over(by_low)).withColumn("_worst", worst).filter(F.col("_worst").isNull() | (F.col("high") >= F.col("_worst")))
     some = cut(some.select("a", "b"))
-    exact = some.join(_picked(some, units, item, "a"), "a").join(_picked(some, units, item, "b"), "b")
+    a, b = _picked(some, units, item)
+    exact = some.join(a, "a").join(b, "b")
     exact = exact.select(F.col("item_a").alias("query"), F.col("item_b").alias("neighbour"), _cosine("_va", "_na", "_vb", "_nb").alias("cosine"))
     by_cosine = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
     return exact.withColumn("rank", F.row_number().over(by_cosine)).filter(F.col("rank") <= k)
