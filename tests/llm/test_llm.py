@@ -8,6 +8,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -456,20 +457,21 @@ def test_held_out_sentences(samples):
     train = [r for i, r in enumerate(samples) if i % 5]
     model = langid.fit_language_model(train, [], epochs=30)
     test = [r for i, r in enumerate(samples) if i % 5 == 0]
-    p = [langid.judge_lines(model, [langid.plain_lines(t)])[3][0] for _, t in test]
+    lines = langid.split_lines(langid.plain_texts(pa.array([t for _, t in test])))
+    p = model.probabilities(model.line_logits(lines)[0], lines.letters)
     right = [langid.LANGUAGES[x.argmax()] == lang for x, (lang, _) in zip(p, test)]
     assert np.mean(right) >= 0.85
     sure = [r for r, x in zip(right, p) if x.max() >= 0.9]
     assert np.mean(sure) >= 0.95
 
 
-def test_plain_lines_keep_lines():
-    text = "<p>GrÃ¼Ã\u009fe &amp; køb</p>\n\n12 &#10; 34\r\nNÄHE „dort“"
-    plain = langid.plain_lines(text)
-    assert plain.count("\n") == text.count("\n") == 3
-    lines = [x.strip() for x in plain.split("\n")]
+def test_plain_texts_keep_lines():
+    text = "<p>GrÃ¼Ã\u009fe &amp; køb</p>\n\n12 &#10; 34\r\nNÄHE „dort“"
+    plain = langid.plain_texts(pa.array([text, None, "", "E\u0301t\u00e9"])).to_pylist()
+    assert plain[0].count("\n") == text.count("\n") == 3
+    lines = [x.strip() for x in plain[0].split("\n")]
     assert lines == ["grüße køb", "", "", "nähe dort"]
-    assert langid.plain_lines(None) == "" and langid.plain_lines("") == ""
+    assert plain[1:] == ["", "", "été"]
 
 
 def test_labels(spark):
@@ -484,7 +486,7 @@ def test_documents_and_lines(spark, samples):
     for lang, t in samples:
         by[lang].append(t)
     da, de = " ".join(by["da"][:4]), " ".join(by["de"][:4])
-    rows = [(1, f"{da}\n\n{de}\n{da}", "a"), (2, None, "b"), (3, "", "c"), (4, "12 34\n5", "d"), (None, de, "e"), (5, f"{da}\n" * 3_000, "f"), (6, f"{da}\n{de[:8]}", "g")]
+    rows = [(1, f"{da}\n\n{de}\n{da}", "a"), (2, None, "b"), (3, "", "c"), (4, "12 34\n5", "d"), (None, de, "e"), (5, f"{da}\n" * 3_000, "f"), (6, f"{da}\nAb", "g")]
     df = spark.createDataFrame(rows, "doc bigint, text string, lang_code string")
     got = collections.defaultdict(list)
     for r in langid.label_languages(df, "doc", "text", model, accept=0.8, chunk_chars=500).collect():
@@ -496,11 +498,49 @@ def test_documents_and_lines(spark, samples):
     assert langid.label_languages(df.limit(0), "doc", "text", model).count() == 0
 
 
-def test_features_do_not_cross_lines():
-    one = langid.features(["ab cd\nef"], 16)
-    two = langid.features(["ab cd", "ef"], 16)
-    assert sorted(one[0]) == sorted(two[0]) and one[2].tolist() == two[2].tolist() == [4, 2]
-    assert one[3].tolist() == [2] and two[3].tolist() == [1, 1]
+def test_short_line_in_another_language(spark, samples):
+    # no least length: what counts is how often lines of that length and lead were right
+    model = langid.fit_language_model(samples, [], epochs=30)
+    da = " ".join(t for lang, t in samples if lang == "da")[:600]
+    lines = {"the school": "en", "Der Verein lobte": "de", "El museo": "es"}  # 9 to 14 letters
+    df = spark.createDataFrame([(i, f"{da}\n{line}\n{da}") for i, line in enumerate(lines)], "doc int, text string")
+    found = {r.doc: (r.para_no, r.lang_code) for r in langid.label_languages(df, "doc", "text", model, accept=0.6).collect() if r.para_no}
+    assert found == {i: (2, code) for i, code in enumerate(lines.values())}
+
+
+def test_confidence_grows_with_lead_and_is_calibrated(samples):
+    model = langid.fit_language_model(samples, [], epochs=30)
+    words = [w for _, t in samples for w in langid.plain_texts(pa.array([t])).to_pylist()[0].split()]
+    lines = langid.split_lines(pa.array(words + [t.lower() for _, t in samples], pa.large_string()))
+    logits = model.line_logits(lines)[0]
+    single, whole = np.split(model.confidence(logits, lines.letters), [len(words)])
+    assert single.mean() < whole.mean() and (single > 0).all() and (whole < 1).all()
+
+
+def test_text_in_no_known_language(spark, samples):
+    model = langid.fit_language_model(samples, [], epochs=30)
+    strange = "qzx wvj kkq xzw jqv zzk wxq vjz " * 20
+    df = spark.createDataFrame([(1, strange), (2, " ".join(t for lang, t in samples if lang == "fr"))], "doc int, text string")
+    model.usual_lead = float(np.median(langid._two_best(model.line_logits(langid.split_lines(langid.plain_texts(pa.array([t for _, t in samples]))))[0]))) / 2
+    got = {r.doc: (r.lang_code, r.confidence) for r in langid.label_languages(df, "doc", "text", model).filter("para_no = 0").collect()}
+    assert got[1] == (None, 0.0) and got[2][0] == "fr"
+
+
+def brute_subwords(word):
+    text = f" {word} "
+    return collections.Counter(text[i : i + n] for n in langid.GRAMS for i in range(len(text) - n + 1))
+
+
+def test_subwords_stay_inside_words():
+    words = ["ab", "x", "grüße", "abab"]
+    index, size = langid.subwords(pa.array(words), 30)
+    assert size.tolist() == [sum(brute_subwords(w).values()) for w in words]
+    one, _ = langid.subwords(pa.array(["grüße"]), 30)
+    start = int(size[:2].sum())
+    assert sorted(index[start : start + size[2]]) == sorted(one)
+    assert len(set(index)) == len(set().union(*[brute_subwords(w) for w in words]))
+    lines = langid.split_lines(pa.array(["ab x\n\ngrüße abab", ""], pa.large_string()))
+    assert lines.count.tolist() == [3, 1] and lines.size.tolist() == [2, 0, 2, 0] and lines.letters.tolist() == [3, 0, 9, 0]
 
 
 def test_model_without_samples(spark):
