@@ -15,6 +15,8 @@ from quillrank.operators.skew import join_key_stats
 
 #: A task merges equal entries of its products, and passes them on, at about this many.
 BLOCK_ENTRIES = 1_000_000
+#: Entries of products that are added up in one task, at most, before equal ones are merged.
+TILE_ENTRIES = 1_500_000
 #: Dictionaries of up to this many items (and 32 bytes an item) are broadcast to the tasks.
 MAX_DICTIONARY = 500_000
 
@@ -101,15 +103,67 @@ class _Blocks:
         yield from gram_block(parts[0], parts[1], parts[2].astype(np.float64), self.ratio)
 
 
-def _sliced(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for s in range(0, len(columns[0]), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000].astype(np.int64)) for c in columns], names=names)
+def _packed(numbers: np.ndarray) -> tuple[bytes, int]:
+    """Whole numbers, compressed: bytes of equal weight stand together, as most of the high ones are 0."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return pa.compress(raw, "zstd", asbytes=True), len(raw)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(packed, size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+
 
+def _tile(k: np.ndarray, tiles: int) -> np.ndarray:
+    """The bucket of an entry: that of its tile of the product, one row by 4,096 columns."""
+    h = ((k >> 32) * np.int64(0x100000) + ((k & 0xFFFFFFFF) >> 12)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(33)) % np.uint64(tiles)).astype(np.int64)
+
+
+def _in_tiles(pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], tiles: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of a product, cut by bucket and packed: one row for each bucket, not one for each entry."""
+    for a, b, n in pieces:
+        k = (a << 32) | b
+        tile = _tile(k, tiles)
+        by = np.lexsort((k, tile))
+        k, n, tile = k[by], n[by], tile[by]
+        edges = np.flatnonzero(np.diff(tile, prepend=-1, append=tiles))
+        rows = [(int(tile[s]), *_packed(np.diff(k[s:e], prepend=0)), *_packed(n[s:e])) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["tile", "k", "k_size", "n", "n_size"])
+
+
+def _summed(products: DataFrame, min_count: int) -> DataFrame:
+    """Entries of at least ``min_count`` after the packed pieces of each bucket are added up."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [], []
+        for batch in batches:
+            k, k_size, n, n_size = (batch.column(c).to_pylist() for c in ("k", "k_size", "n", "n_size"))
+            keys += [np.cumsum(_unpacked(*x)) for x in zip(k, k_size, strict=True)]
+            counts += [_unpacked(*x) for x in zip(n, n_size, strict=True)]
+        k, n = np.concatenate(keys), np.concatenate(counts)
+        by = np.argsort(k, kind="stable")
+        k, n = k[by], n[by]
+        first = np.flatnonzero(np.diff(k, prepend=-1))
+        n = np.add.reduceat(n, first)
+        k = k[first][n >= min_count]
+        n = n[n >= min_count]
+        for s in range(0, len(k), 200_000):
+            part = k[s : s + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part >> 32), pa.array(part & 0xFFFFFFFF), pa.array(n[s : s + 200_000])], names=["a", "b", "n_ab"])
 
-def _products_by_dictionary(sets: DataFrame, support: DataFrame, ratio: float, record_block: int) -> tuple[DataFrame, DataFrame]:
+    return products.groupBy("tile").applyInArrow(add, "a bigint, b bigint, n_ab bigint")
+
+
+_TILES = "tile int, k binary, k_size bigint, n binary, n_size bigint"
+
+
+def _products_by_dictionary(
+    sets: DataFrame, support: DataFrame, ratio: float, record_block: int, tiles: int, min_count: int
+) -> tuple[DataFrame, DataFrame]:
     """Summed products by item number, and ``(code, item, n_item)`` with these numbers.
 
-    The baskets are multiplied where they are read; a pair of numbers is one long.
+    The baskets are multiplied where they are read.
     """
     spark = sets.sparkSession
     table = support.select("item", "n_item").toArrow().combine_chunks()
@@ -129,20 +183,19 @@ def _products_by_dictionary(sets: DataFrame, support: DataFrame, ratio: float, r
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[there]
             codes = codes.drop_null().to_numpy().astype(np.int64)
             if block.add(codes, np.bincount(owner, minlength=len(lists)), counts[codes]):
-                for a, b, c in block.product():
-                    yield from _sliced([(a << 32) | b, c], ["k", "n"])
+                yield from _in_tiles(block.product(), tiles)
         if block.held:
-            for a, b, c in block.product():
-                yield from _sliced([(a << 32) | b, c], ["k", "n"])
+            yield from _in_tiles(block.product(), tiles)
 
-    summed = sets.select("_items").mapInArrow(products, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n_ab"))
-    pairs = summed.select(F.shiftright("k", 32).alias("a"), F.col("k").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n_ab")
+    pairs = _summed(sets.select("_items").mapInArrow(products, _TILES), min_count)
     names = spark.createDataFrame(numbered) if len(table) else support.select("item", "n_item", "code").limit(0)
     return pairs, names
 
 
-def _products_by_join(sets: DataFrame, support: DataFrame, total: float, ratio: float, record_block: int) -> DataFrame:
-    """The same for dictionaries of any size: numbers come by a join, baskets are put together again."""
+def _products_by_join(
+    sets: DataFrame, support: DataFrame, total: float, ratio: float, record_block: int, min_count: int
+) -> DataFrame:
+    """The same for dictionaries of any size: numbers, of 64 bits, come by a join, baskets are put together again."""
     long = sets.select("_basket", F.explode("_items").alias("item"))
     coded = join_key_stats(long, support, "item", "n_item", total, spread=F.col("_basket"))
     rows = coded.groupBy("_basket").agg(F.collect_list(F.struct("code", "n_item")).alias("x")).filter(F.size("x") > 1)
@@ -159,7 +212,13 @@ def _products_by_join(sets: DataFrame, support: DataFrame, total: float, ratio:
             for part in block.product():
                 yield from _sliced(list(part), ["a", "b", "n"])
 
-    return rows.mapInArrow(products, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
+    summed = rows.mapInArrow(products, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
+    return summed.filter(F.col("n_ab") >= min_count)
+
+
+def _sliced(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(columns[0]), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000].astype(np.int64)) for c in columns], names=names)
 
 
 def together(
@@ -184,7 +243,9 @@ def together(
     3. Each task multiplies blocks of about ``record_block`` entries with their
        transpose and sums equal entries before anything is shuffled, so a pair of
        frequent items leaves a block as one number.
-    4. The partial products are summed by pair and normalised by the marginals.
+    4. The partial products are shuffled as packed tiles, a row for each bucket of
+       tiles, added up by pair and normalised by the marginals. Buckets are as many as
+       keep one within a task whatever the input.
 
     A basket's list is a row of the input; no list ever gathers more than that.
     Sums are exact whatever the order of blocks.
@@ -192,7 +253,8 @@ def together(
     held = F.array_distinct(F.filter(items, lambda x: x.isNotNull()))
     sets = baskets.select(held.alias("_items")).filter(F.size("_items") > 0)
     sets = cut(sets.withColumn("_basket", F.monotonically_increasing_id()))
-    n = sets.count()
+    size = F.size("_items").cast("bigint")
+    n, entries = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0))).first()
     support = sets.select(F.explode("_items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     support = support.filter(F.col("n_item") >= min_count)
     if min_lift > 0:
@@ -200,12 +262,12 @@ def together(
     support = cut(support.withColumn("code", F.monotonically_increasing_id()))
     known = support.agg(F.count(F.lit(1)), F.sum("n_item"), F.sum(F.octet_length(F.col("item").cast("string")))).first()
     if known[0] <= dictionary and (known[2] or 0) <= 32 * dictionary:
-        pairs, support = _products_by_dictionary(sets, support, min_jaccard, record_block)
+        tiles = max(1, -(-int(entries) // TILE_ENTRIES))
+        pairs, support = _products_by_dictionary(sets, support, min_jaccard, record_block, tiles, min_count)
         named_by = F.broadcast  # its size has just been checked
     else:
-        pairs = _products_by_join(sets, support, float(known[1] or 0), min_jaccard, record_block)
+        pairs = _products_by_join(sets, support, float(known[1] or 0), min_jaccard, record_block, min_count)
         named_by = lambda df: df
-    pairs = pairs.filter(F.col("n_ab") >= min_count)
     left = support.select(F.col("code").alias("a"), F.col("item").alias("_ia"), F.col("n_item").alias("_na"))
     right = support.select(F.col("code").alias("b"), F.col("item").alias("_ib"), F.col("n_item").alias("_nb"))
     named = pairs.join(named_by(left), "a").join(named_by(right), "b")

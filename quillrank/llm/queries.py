@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.cooccur import together
@@ -14,9 +14,12 @@ from quillrank.llm.pack import fill_containers
 from quillrank.llm.permindex import close_pairs, nearest, usable_vectors
 from quillrank.llm.tokens import TOKENIZER, token_counts
 from quillrank.llm.topn import top_n_by_bands
+from quillrank.operators.cut import cut
 from quillrank.sources.tables import table
 
 SCORES = ["bm25", "semantic", "popularity"]
+#: Repeated deliveries up to this many (a number each) are broadcast to be left out; more are joined.
+MAX_AGAIN = 1_000_000
 
 
 # 1. distinctive terms -------------------------------------------------------------------
@@ -39,17 +42,18 @@ def p1_article_terms(spark: SparkSession, d: str) -> DataFrame:
 
 # 3. articles that appear together -------------------------------------------------------
 
-def _lists(spark: SparkSession, d: str, column: str) -> DataFrame:
-    """One row per impression, however often delivered: deliveries hold the same ids."""
-    rows = table(spark, d, "impressions").select(F.struct("source_split", "source_impression_id").alias("key"), "impression_id", F.col(column).alias("ids"))
-    return rows.groupBy("key").agg(F.min_by("ids", "impression_id").alias("ids"))
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    """Each impression once, however often delivered: deliveries hold the same ids, so only their numbers are compared."""
+    rows = table(spark, d, "impressions")
+    first = Window.partitionBy("source_split", "source_impression_id").orderBy("impression_id")
+    again = rows.select("source_split", "source_impression_id", "impression_id").withColumn("_nth", F.row_number().over(first))
+    again = cut(again.filter("_nth > 1").select("impression_id"))
+    return rows.join(F.broadcast(again) if again.count() <= MAX_AGAIN else again, "impression_id", "left_anti")
 
 
 def _pairs(spark: SparkSession, d: str, **limits: float) -> DataFrame:
-    each = [
-        together(_lists(spark, d, column), "ids", **limits).withColumn("list_name", F.lit(name))
-        for name, column in (("clicked", "clicked_ids"), ("inview", "inview_ids"))
-    ]
+    once = _once(spark, d)
+    each = [together(once, column, **limits).withColumn("list_name", F.lit(name)) for name, column in (("clicked", "clicked_ids"), ("inview", "inview_ids"))]
     return each[0].unionByName(each[1]).withColumnsRenamed({"item_a": "article_a", "item_b": "article_b"})
 
 
