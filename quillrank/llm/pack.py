@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -13,62 +14,76 @@ from pyspark.sql import functions as F
 from quillrank.operators.cut import cut
 
 #: Windows that one block of items fills, about.
-WINDOWS_PER_BLOCK = 256
-#: Up to this many kinds of containers are written into the plan.
+WINDOWS_PER_BLOCK = 512
+#: Most kinds of containers: each packs all items anew.
 MAX_KINDS = 1_000
 
 
 def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, int]:
     """Window of every item and the largest window sum, by Karmarkar-Karp differencing.
 
-    A partial partition is a list of ``windows`` sums, falling. The two partitions
-    with the largest imbalance (largest minus smallest sum) are merged so that the
-    large sums of one meet the small sums of the other, until one is left.
+    A partial partition is a list of ``windows`` sums. The two partitions with the
+    largest imbalance (largest minus smallest sum) are merged so that the large sums of
+    one meet the small sums of the other, until one is left. Every item starts as a
+    partition of its own. As items come largest first, a partition of single items
+    in a row merges with the next item by taking it into an empty window, and any
+    other with a single item by adding that to its smallest sum.
     """
     n, k = len(sizes), windows
     if k <= 1 or n == 0:
         return np.zeros(n, np.int64), int(sizes.sum())
     order = np.argsort(-sizes, kind="stable")
-    # the largest items come first anyway: as single-item partitions their merges fill one window each
-    first = order[:k]
-    sums = np.zeros(k, np.int64)
-    sums[: len(first)] = sizes[first]
-    node = np.full(k, -1, np.int64)
-    node[: len(first)] = first
-    heap = [(-int(sums[0] - sums[-1]), 0, sums, node)]
-    heap += [(-int(sizes[i]), t, None, int(i)) for t, i in enumerate(order[k:], 1)]
+    item, size = order.tolist(), sizes[order].tolist()
+    merges: list[tuple[int, int]] = []  # the two nodes below node n, n + 1, ...
+
+    def node(a: int, b: int) -> int:
+        if a < 0 or b < 0:
+            return max(a, b)
+        merges.append((a, b))
+        return n + len(merges) - 1
+
+    def spread(p: tuple) -> tuple[list[int], list[int]]:
+        """Sums, rising, and their nodes (-1: none)."""
+        if p[3] is not None:
+            return p[3], p[4]
+        empty = k - (p[2] - p[1])
+        return [0] * empty + size[p[1] : p[2]][::-1], [-1] * empty + item[p[1] : p[2]][::-1]
+
+    def run(start: int, end: int) -> tuple:
+        return (-(size[start] - (size[end - 1] if end - start == k else 0)), start, end, None, None)
+
+    heap = [run(0, min(k, n)), *(run(i, i + 1) for i in range(k, n))]
     heapq.heapify(heap)
-    merges: list[tuple[np.ndarray, np.ndarray, int]] = []
-    next_node, tick = n, len(heap) + 1
-
-    def spread(item: tuple) -> tuple[np.ndarray, np.ndarray]:
-        if item[2] is not None:
-            return item[2], item[3]
-        s, m = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        s[0], m[0] = sizes[item[3]], item[3]
-        return s, m
-
+    tick = n
     while len(heap) > 1:
-        (s1, m1), (s2, m2) = spread(heapq.heappop(heap)), spread(heapq.heappop(heap))
-        s, right = s1 + s2[::-1], m2[::-1]
-        both = (m1 >= 0) & (right >= 0)
-        m = np.where(m1 >= 0, m1, right)
-        if both.any():
-            made = np.arange(next_node, next_node + int(both.sum()))
-            merges.append((m1[both], right[both], next_node))
-            m[both] = made
-            next_node += len(made)
-        by = np.argsort(-s, kind="stable")
-        s, m = s[by], m[by]
-        heapq.heappush(heap, (-int(s[0] - s[-1]), tick, s, m))
+        p, q = heapq.heappop(heap), heap[0]
+        if p[3] is None and q[3] is None and p[2] == q[1] and q[2] - p[1] <= k:
+            heapq.heapreplace(heap, run(p[1], q[2]))
+            continue
+        if p[3] is None and p[2] - p[1] == 1:
+            p, q = q, p
+        s, m = spread(p)
+        if q[3] is None and q[2] - q[1] == 1:
+            total, joined = s[0] + size[q[1]], node(m[0], item[q[1]])
+            at = bisect_left(s, total, 1)
+            s[: at - 1], m[: at - 1] = s[1:at], m[1:at]
+            s[at - 1], m[at - 1] = total, joined
+        else:
+            other, nodes = spread(q)
+            both = [(a + b, node(x, y)) for a, b, x, y in zip(s, reversed(other), m, reversed(nodes), strict=True)]
+            both.sort()
+            s, m = map(list, zip(*both, strict=True))
+        heapq.heapreplace(heap, (s[0] - s[-1], tick, tick, s, m))
         tick += 1
     s, m = spread(heap[0])
-    label = np.full(next_node, -1, np.int64)
-    label[m[m >= 0]] = np.flatnonzero(m >= 0)
-    for left, right, start in reversed(merges):
-        mine = label[start : start + len(left)]
-        label[left], label[right] = mine, mine
-    return label[:n], int(s.max())
+    label = [-1] * (n + len(merges))
+    for window, x in enumerate(reversed(m)):  # the fullest is 0
+        if x >= 0:
+            label[x] = window
+    for x in range(len(merges) - 1, -1, -1):
+        a, b = merges[x]
+        label[a] = label[b] = label[n + x]
+    return np.array(label[:n], np.int64), s[-1]
 
 
 def fewest_windows(sizes: np.ndarray, capacity: int) -> int:
@@ -128,7 +143,7 @@ def fill_containers(
     a container of its own, and a rest that is packed like an item. Items of size 0
     or NULL keep one row of size 0 without a container. Containers without name or
     with a capacity below 1 are ignored; NULL items are left out; repeated items are
-    packed each (tell them apart by ``item``).
+    packed each (tell them apart by ``item``). More than ``MAX_KINDS`` kinds are refused.
 
     Items fall into blocks by a hash, as many as make about ``windows_per_block``
     windows each; a block is packed by itself, so no task ever holds more than that,
@@ -137,14 +152,19 @@ def fill_containers(
     items = cut(items.select(F.col(item).alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size")).filter(F.col("item").isNotNull()))
     kinds = containers.select(F.col(name).alias("container_name"), F.col(capacity).cast("bigint").alias("capacity")).filter(
         F.col("container_name").isNotNull() & (F.col("capacity") > 0)).distinct()
-    total = items.agg(F.sum("size")).first()[0] or 0
     listed = [r.asDict() for r in kinds.orderBy("container_name", "capacity").limit(MAX_KINDS + 1).collect()]
-    if len(listed) <= MAX_KINDS:
-        made = [F.struct(F.lit(k["container_name"]).alias("container_name"), F.lit(k["capacity"]).cast("bigint").alias("capacity")) for k in listed]
-        every = F.array(*made).cast("array<struct<container_name:string,capacity:bigint>>")
-        each = items.select("*", F.explode(every).alias("_kind")).select("*", "_kind.*").drop("_kind")
-    else:
-        each = items.join(kinds)
+    if len(listed) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers: every item would be packed for each of them")
+    # blocks are as many as what is left beside full pieces fills
+    capacities = sorted({k["capacity"] for k in listed})
+    rests = items.agg(*[F.coalesce(F.sum(F.col("size") % c), F.lit(0)).alias(str(c)) for c in capacities]).first() if listed else {}
+    made = [
+        F.struct(F.lit(k["container_name"]).alias("container_name"), F.lit(k["capacity"]).cast("bigint").alias("capacity"),
+                 F.lit(max(1, -(-rests[str(k["capacity"])] // (k["capacity"] * windows_per_block)))).cast("bigint").alias("blocks"))
+        for k in listed
+    ]
+    every = F.array(*made).cast("array<struct<container_name:string,capacity:bigint,blocks:bigint>>")
+    each = items.select("*", F.explode(every).alias("_kind")).select("*", "_kind.*").drop("_kind")
     key = ["container_name", "capacity", "item"]
     sized = each.withColumn("_full", F.floor(F.col("size") / F.col("capacity"))).withColumn("_rest", F.col("size") % F.col("capacity"))
     full = sized.filter("_full > 0").select(*key, F.explode(F.sequence(F.lit(0), F.col("_full").cast("int") - 1)).alias("piece_no"),
@@ -153,8 +173,7 @@ def fill_containers(
     full = full.withColumn("container_fill", F.col("capacity"))
     none = sized.filter("size = 0").select(*key, F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("piece_size"),
                                             F.lit(None).cast("string").alias("container_id"), F.lit(None).cast("bigint").alias("container_fill"))
-    blocks = F.greatest(F.ceil(F.lit(int(total)) / (F.col("capacity") * windows_per_block)), F.lit(1))
-    rest = sized.filter("_rest > 0").withColumn("_block", F.pmod(F.xxhash64("item"), blocks))
+    rest = sized.filter("_rest > 0").withColumn("_block", F.pmod(F.xxhash64("item"), F.col("blocks")))
     rest = rest.select(*key, F.col("_full").cast("int").alias("piece_no"), F.col("_rest").alias("piece_size"), "_block")
     kind = items.schema["item"].dataType.simpleString()
 
