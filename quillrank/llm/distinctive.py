@@ -49,17 +49,20 @@ def count_tokens_column(records: DataFrame, record_id: str, tokens: str) -> Data
 
 
 def separate(
-    seg: np.ndarray, tf: np.ndarray, background: np.ndarray, record_share: float, floor: float, tolerance: float, max_rounds: int
+    seg: np.ndarray, tf: np.ndarray, background: np.ndarray, record_share: float, floor: float, tolerance: float, max_rounds: int,
 ) -> np.ndarray:
     """Expectation-maximisation for many records at once.
 
     ``seg`` holds the start of each record in the flat arrays (no empty records).
     E-step: the part of each term's mass that the record, not the background,
     explains. M-step: those parts, normalised. Terms whose probability falls below
-    ``floor`` lose all mass, so the model becomes parsimonious.
+    ``floor``, or in a long record below a tenth of one occurrence, lose all mass, so
+    the model becomes parsimonious.
     """
     size = np.diff(np.append(seg, len(tf)))
-    p = tf / np.repeat(np.add.reduceat(tf, seg), size)
+    occurrences = np.repeat(np.add.reduceat(tf, seg), size)
+    p = tf / occurrences
+    floor = np.minimum(floor, 0.1 / occurrences)
     active = np.ones(len(seg), bool)
     for _ in range(max_rounds):
         mixed = record_share * p
@@ -77,15 +80,18 @@ def separate(
 
 
 def parsimonious_terms(
-    counted: DataFrame, record_id: str, *, record_share: float = 0.2, floor: float = 1e-4, tolerance: float = 1e-6, max_rounds: int = 60
+    counted: DataFrame, record_id: str, *, record_share: float = 0.2, floor: float = 1e-4, tolerance: float = 1e-6, max_rounds: int = 60,
+    background: str = "cf",
 ) -> DataFrame:
     """One row per record and term with the term's converged record probability.
 
     ``counted`` is the result of :func:`count_words` with one row per record. Result:
-    ``record_id, term, tf, df, cf, p_background, p_record, term_rank``; ``df`` and
+    ``record_id, term, tf, df, cf, p_background, p_record, term_rank, record_size``; ``df`` and
     ``cf`` are the records and occurrences of the term in the whole collection,
-    ``p_record`` is 0 for terms that the background explains, and ``term_rank``
-    counts from 1 by falling ``p_record``, ties by term.
+    ``p_background`` is its part of all occurrences, or with ``background="df"`` of all
+    distinct terms of records, so that one record that repeats a term does not make it common;
+    ``p_record`` is 0 for terms that the background explains, ``term_rank``
+    counts from 1 by falling ``p_record``, ties by term, and ``record_size`` is the record's occurrences.
 
     Counts of the collection come from map-side combined aggregates over all
     records. Frequent terms reach the records by a broadcast of at most 10,000
@@ -97,11 +103,14 @@ def parsimonious_terms(
     long = counted.select(record_id, F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(
         record_id, F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
     stats = cut(long.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
-    total = stats.agg(F.sum("cf")).first()[0] or 0
+    total, distinct = stats.agg(F.coalesce(F.sum("cf"), F.lit(0)), F.coalesce(F.sum("df"), F.lit(0))).first()
     joined = join_key_stats(long, stats, "term", "cf", float(total), spread=F.col(record_id))
     packed = joined.groupBy(record_id).agg(F.array_sort(F.collect_list(F.struct("term", "tf", "df", "cf"))).alias("x"))
     packed = packed.select(record_id, *[F.col(f"x.{c}").alias(c) for c in ("term", "tf", "df", "cf")])
     id_type = counted.schema[record_id].dataType.simpleString()
+    by_records = {"cf": False, "df": True}[background]
+
+    names = ["term", "tf", "df", "cf", "p_background", "p_record", "term_rank", "record_size"]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,24 +121,25 @@ def parsimonious_terms(
             sizes = np.diff(lists[0].offsets.to_numpy())
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             tf = flat[1].to_numpy(zero_copy_only=False).astype(np.float64)
-            background = flat[3].to_numpy(zero_copy_only=False) / float(total)
+            of, whole = (flat[2], distinct) if by_records else (flat[3], total)
+            background = of.to_numpy(zero_copy_only=False) / float(whole)
             p = separate(starts, tf, background, record_share, floor, tolerance, max_rounds)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((np.arange(len(p)), -p, owner))
             rank = np.empty(len(p), np.int32)
             rank[order] = np.arange(len(p)) - np.repeat(starts, sizes) + 1
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            new = [flat[0], flat[1], flat[2], flat[3], pa.array(background), pa.array(p), pa.array(rank)]
+            record_size = np.repeat(np.add.reduceat(tf, starts), sizes).astype(np.int64)
+            new = [flat[0], flat[1], flat[2], flat[3], pa.array(background), pa.array(p), pa.array(rank), pa.array(record_size)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.ListArray.from_arrays(offsets, x) for x in new]],
-                names=[record_id, "term", "tf", "df", "cf", "p_background", "p_record", "term_rank"],
+                names=[record_id, *names],
             )
 
     schema = (
         f"`{record_id}` {id_type}, term array<string>, tf array<int>, df array<bigint>, cf array<bigint>, "
-        "p_background array<double>, p_record array<double>, term_rank array<int>"
+        "p_background array<double>, p_record array<double>, term_rank array<int>, record_size array<bigint>"
     )
-    names = ["term", "tf", "df", "cf", "p_background", "p_record", "term_rank"]
     rows = packed.mapInArrow(fit, schema).select(record_id, F.explode(F.arrays_zip(*names)).alias("x"))
     return rows.select(record_id, *[F.col(f"x.{c}").alias(c) for c in names])
 

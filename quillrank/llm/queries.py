@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.cooccur import together
-from quillrank.llm.distinctive import count_words, one_text_per_record, parsimonious_terms
+from quillrank.llm.distinctive import count_tokens_column, count_words, one_text_per_record, parsimonious_terms
 from quillrank.llm.fuse import borda, outright_winners
 from quillrank.llm.langid import fit_on_documents, label_languages, language_of_label
 from quillrank.llm.mix import mix_sources
@@ -24,20 +24,44 @@ MAX_AGAIN = 1_000_000
 
 # 1. distinctive terms -------------------------------------------------------------------
 
-def _terms(spark: SparkSession, d: str) -> DataFrame:
+def _texts(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
     records = one_text_per_record(table(spark, d, "articles"), "article_id", text)
-    return parsimonious_terms(count_words(records, "article_id", "text"), "article_id")
+    return parsimonious_terms(count_words(records, "article_id", "text"), "article_id", background="df")
+
+
+def marked(terms: DataFrame, most_records: int, least_tf: int) -> DataFrame:
+    """Terms that their record's converged model puts above the collection's: more probable in it than in the background.
+
+    The model cannot tell records apart from a collection that they largely make up. A
+    term with ``least_tf`` occurrences in at most ``most_records`` records surely is above
+    the background, by a factor of four at least, unless the record has more than
+    ``least_tf / (8 * most_records)`` of the collection's distinct terms (the optimum of the likelihood
+    gives a term ``tf / size - 4 * p_background`` at least, at a record share of 0.2); all terms of such records are kept.
+    """
+    # df / p_background is the number of distinct terms, summed over all records
+    large = 8 * most_records * F.col("record_size") * F.col("p_background") > least_tf * F.col("df")
+    return terms.filter((F.col("p_record") > F.col("p_background")) | large)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    # whatever p_record: it is 0 for cases in very long records and where one record holds most of a term
-    return _terms(spark, d).filter("tf >= 3 AND df BETWEEN 2 AND 5").select("article_id", "term")
+    # the model chooses, counts confirm
+    return marked(_texts(spark, d), 5, 3).filter("tf >= 3 AND df BETWEEN 2 AND 5").select("article_id", "term")
+
+
+def _ranked(terms: DataFrame) -> DataFrame:
+    return terms.filter("p_record > 0").select("article_id", "term", "tf", "df", F.round("p_record", 6).alias("p_record"), "term_rank")
 
 
 def p1_article_terms(spark: SparkSession, d: str) -> DataFrame:
-    kept = _terms(spark, d).filter("p_record > 0")
-    return kept.select("article_id", "term", "tf", "df", F.round("p_record", 6).alias("p_record"), "term_rank")
+    return _ranked(_texts(spark, d))
+
+
+def p1_token_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the stored tokens; of an article's rows the one with the most tokens counts, then the greatest list."""
+    rows = table(spark, d, "articles").filter("article_id IS NOT NULL AND size(tokens) > 0")
+    last = rows.groupBy("article_id").agg(F.max(F.struct(F.size("tokens").alias("n"), "tokens")).alias("m")).select("article_id", F.col("m.tokens").alias("tokens"))
+    return _ranked(parsimonious_terms(count_tokens_column(last, "article_id", "tokens"), "article_id", background="df"))
 
 
 # 3. articles that appear together -------------------------------------------------------
@@ -149,7 +173,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_article_terms, p3_found, p3_article_pairs, p4_found, p4_top_candidates, p5_found, p5_neighbours,
+    p1_found, p1_article_terms, p1_token_terms, p3_found, p3_article_pairs, p4_found, p4_top_candidates, p5_found, p5_neighbours,
     p6_found, p6_fused_order, p8_containers, p9_selection, p10_found, p10_languages,
 )}
 

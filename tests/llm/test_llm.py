@@ -21,7 +21,7 @@ def test_matches_sql(spark, data, name):
     assert_same(queries.QUERIES[name](spark, data), connect(data), queries.ORACLE[name])
 
 
-@pytest.mark.parametrize("name", ["p1_article_terms", "p5_neighbours", "p8_containers", "p9_selection", "p10_found", "p10_languages"])
+@pytest.mark.parametrize("name", ["p1_article_terms", "p1_token_terms", "p5_neighbours", "p8_containers", "p9_selection", "p10_found", "p10_languages"])
 def test_gives_rows(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() > 0
 
@@ -35,6 +35,29 @@ def test_p1_found_where_the_model_has_zero(spark, tmp_path):
     assert found == {("N1", "quorum"), ("N2", "quorum")}
 
 
+def test_p1_found_is_chosen_by_the_model(spark, data):
+    terms = queries._texts(spark, data).toPandas()
+    chosen = queries.marked(spark.createDataFrame(terms), 5, 3).toPandas()
+    assert 0 < len(chosen) < len(terms)
+    case = lambda t: t[(t.tf >= 3) & t.df.between(2, 5)]
+    assert len(case(chosen)) == len(case(terms)) > 0
+    assert terms[terms.p_record <= terms.p_background].df.mean() > 2 * chosen.df.mean()
+    # without the model's separation nothing is chosen
+    assert queries.marked(spark.createDataFrame(terms.assign(p_record=0.0)), 5, 3).count() == 0
+
+
+def test_least_probability_of_a_case():
+    # the bound that marked() relies on, for records of up to 3 / 40 of the distinct terms
+    rng = np.random.default_rng(5)
+    for size in (20, 200, 3_000):
+        distinct = 40 * size // 3 + 1
+        tf = np.concatenate([[3.0], np.ones(size - 3)])
+        for common in (0.0, 0.3):
+            background = np.concatenate([[5 / distinct], rng.random(size - 3) * common + 1 / distinct])
+            p = distinctive.separate(np.array([0]), tf, background, 0.2, 1e-4, 1e-6, 60)
+            assert p[0] >= 4 * background[0] - 1e-6
+
+
 def brute_terms(texts, share, floor, rounds=60, tol=1e-6):
     counted = {k: collections.Counter(re.findall(r"[^\W\d_]{4,}", unicodedata.normalize("NFC", t).lower())) for k, t in texts.items()}
     cf = sum(counted.values(), collections.Counter())
