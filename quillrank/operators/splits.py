@@ -8,37 +8,48 @@ from pyspark.sql import functions as F
 SPLITS = ("train", "val", "test")
 
 
+def within(t: Column, period: tuple[str, str] | None) -> Column:
+    """The time, or NULL outside the period (from, before)."""
+    if not period:
+        return t
+    low, high = (F.lit(x).cast("timestamp_ntz") for x in period)
+    return F.when((t >= low) & (t < high), t)
+
+
 def assign_splits(
-    impressions: DataFrame, held_out: str, *, val: tuple[str, str] | None = None, val_days: int = 2, check: bool = True
+    impressions: DataFrame, held_out: str, *, val: tuple[str, str] | None = None, val_days: int = 2,
+    period: tuple[str, str] | None = None, check: bool = True,
 ) -> DataFrame:
-    """Adds ``split`` by time alone.
+    """Adds ``split`` by time alone; every row keeps its place in one split.
 
     Rows of source ``held_out`` are ``test``. Of the others those inside the inclusive
     day range ``val``, or in the last ``val_days`` calendar days, are ``val``; the rest,
-    also rows without a time, are ``train``. ValueError if the source is not there.
+    also rows without a time, are ``train``. With ``period`` (from, before) a time outside it counts as
+    none, so a clock that is wrong by years moves no boundary. ValueError if the source is not there.
     """
     if not held_out:
         raise ValueError("a held-out source is needed")
     if check and not impressions.filter(F.col("source_split") == held_out).limit(1).count():
         raise ValueError(f"held-out source {held_out!r} is not in the data")
     other = ~F.col("source_split").eqNullSafe(F.lit(held_out))
-    t = F.col("timestamp")
+    t = within(F.col("timestamp"), period)
     if val:
         late = (t >= F.lit(val[0]).cast("timestamp_ntz")) & (t < F.date_add(F.lit(val[1]).cast("date"), 1).cast("timestamp_ntz"))
         out = impressions
     else:
-        newest = impressions.filter(other).agg(F.to_date(F.max("timestamp")).alias("_day"))  # one row
+        newest = impressions.filter(other).agg(F.to_date(F.max(t)).alias("_day"))  # one row
         out = impressions.join(F.broadcast(newest))
         late = t >= F.date_sub(F.col("_day"), val_days - 1).cast("timestamp_ntz")
     label = F.when(~other, "test").when(F.coalesce(late, F.lit(False)), "val").otherwise("train")
     return out.withColumn("split", label).drop("_day")
 
 
-def split_meta(impressions: DataFrame) -> DataFrame:
-    """One row per split: rows, users, clicks, first and last time, sources."""
+def split_meta(impressions: DataFrame, period: tuple[str, str] | None = None) -> DataFrame:
+    """One row per split: rows, users, clicks, first and last time (of those in ``period``), sources."""
+    t = within(F.col("timestamp"), period)
     return impressions.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_impressions"), F.count_distinct("user_id").alias("n_users"),
-        F.sum(F.size("clicked_ids")).alias("n_clicks"), F.min("timestamp").alias("t_min"), F.max("timestamp").alias("t_max"),
+        F.sum(F.size("clicked_ids")).alias("n_clicks"), F.min(t).alias("t_min"), F.max(t).alias("t_max"),
         F.array_join(F.sort_array(F.collect_set("source_split")), ",").alias("sources"),
     )
 

@@ -16,7 +16,7 @@ HELD_OUT = "val"
 SAMPLE = 20_000
 LAST_N = 20
 DIM = 64
-#: The log's period: clocks that are off by years would move every split.
+#: The log's period. A time outside it, from a clock that is off by years, is no time as far as splits are concerned.
 PERIOD = ("2023-12-01 00:00:00", "2024-03-01 00:00:00")
 
 
@@ -28,10 +28,14 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impressions(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("timestamp")
-    rows = table(spark, d, "impressions").filter((t >= F.lit(PERIOD[0]).cast("timestamp_ntz")) & (t < F.lit(PERIOD[1]).cast("timestamp_ntz")))
+    """All rows with their split; those without a time, or with one outside the period, stay in ``train`` or ``test``."""
+    rows = table(spark, d, "impressions")
     rows = rows.withColumn("inview_ids", string_list("inview_ids")).withColumn("clicked_ids", string_list("clicked_ids"))
-    return sp.assign_splits(rows, HELD_OUT, val_days=2, check=False)
+    return sp.assign_splits(rows, HELD_OUT, val_days=2, period=PERIOD, check=False)
+
+
+def split_meta(spark: SparkSession, d: str) -> DataFrame:
+    return sp.split_meta(impressions(spark, d), PERIOD)
 
 
 def split(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -45,7 +49,7 @@ def history(spark: SparkSession, d: str) -> DataFrame:
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
     ends = table(spark, d, "snapshots").select("snapshot", F.col("taken_at").alias("end_ts"))
-    return sp.choose_snapshots(ends, sp.split_meta(impressions(spark, d)), strict=False)
+    return sp.choose_snapshots(ends, split_meta(spark, d), strict=False)
 
 
 def popularity(spark: SparkSession, d: str) -> DataFrame:
@@ -97,10 +101,11 @@ WITH art AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY
     category NULLS LAST, n_tokens NULLS LAST, train_clicks NULLS LAST) AS rn FROM articles WHERE article_id IS NOT NULL) WHERE rn = 1),
 imp0 AS (SELECT impression_id, source_impression_id, user_id, "timestamp", source_split,
     coalesce(list_filter(inview_ids, lambda x: x IS NOT NULL), []) AS inview_ids, coalesce(list_filter(clicked_ids, lambda x: x IS NOT NULL), []) AS clicked_ids
-    FROM impressions WHERE "timestamp" >= TIMESTAMP '{PERIOD[0]}' AND "timestamp" < TIMESTAMP '{PERIOD[1]}'),
-newest AS (SELECT date_trunc('day', max("timestamp")) - INTERVAL 1 DAY AS c FROM imp0 WHERE source_split IS DISTINCT FROM 'val'),
-imp AS (SELECT imp0.*, CASE WHEN source_split = 'val' THEN 'test' WHEN "timestamp" >= c THEN 'val' ELSE 'train' END AS split FROM imp0, newest),
-meta AS (SELECT split, min("timestamp") AS t_min, max("timestamp") AS t_max FROM imp GROUP BY 1),
+    FROM impressions),
+timed AS (SELECT *, CASE WHEN "timestamp" >= TIMESTAMP '{PERIOD[0]}' AND "timestamp" < TIMESTAMP '{PERIOD[1]}' THEN "timestamp" END AS t FROM imp0),
+newest AS (SELECT date_trunc('day', max(t)) - INTERVAL 1 DAY AS c FROM timed WHERE source_split IS DISTINCT FROM 'val'),
+imp AS (SELECT timed.*, CASE WHEN source_split = 'val' THEN 'test' WHEN t >= c THEN 'val' ELSE 'train' END AS split FROM timed, newest),
+meta AS (SELECT split, min(t) AS t_min, max(t) AS t_max FROM imp GROUP BY 1),
 hist AS (SELECT DISTINCT user_id, 'N' || regexp_extract(article_id, '([0-9]{{9}})', 1) AS article_id, "timestamp", position, snapshot FROM history
     WHERE user_id IS NOT NULL AND article_id IS NOT NULL AND snapshot IS NOT NULL AND position IS NOT NULL),
 chosen AS (SELECT split, arg_max(snapshot, taken_at) AS snapshot FROM meta JOIN snapshots ON taken_at <= t_min GROUP BY 1),
@@ -113,7 +118,8 @@ tok AS (SELECT article_id, list_filter(regexp_extract_all(lower(coalesce(title,
     lambda x: length(x) >= 2 AND x NOT IN ({_STOP})) AS tokens FROM art),
 prof0 AS (SELECT user_id, split, count(*) AS n_clicks, max("timestamp") AS last_click_time, string_agg(article_id, ',' ORDER BY position, article_id) AS clicked FROM hs GROUP BY 1, 2),
 prof AS (SELECT *, n_clicks < 5 AS is_cold, n_clicks <= quantile_cont(n_clicks::DOUBLE, 0.25) OVER (PARTITION BY split) AS is_low_history FROM prof0),
-samp AS (SELECT * FROM imp WHERE split = 'test' ORDER BY cast('0x' || substr(md5(impression_id || ':13'), 1, 8) AS BIGINT), impression_id LIMIT {SAMPLE}),
+samp AS (SELECT * FROM imp WHERE split = 'test'),
+drawn AS (SELECT * FROM samp ORDER BY cast('0x' || substr(md5(impression_id || ':13'), 1, 8) AS BIGINT), impression_id LIMIT {SAMPLE}),
 su AS (SELECT DISTINCT user_id, split FROM samp WHERE user_id IS NOT NULL),
 clk AS (SELECT user_id, split, article_id, age FROM (SELECT hs.*, row_number() OVER (PARTITION BY user_id, split ORDER BY position DESC, article_id DESC) - 1 AS age
     FROM hs JOIN su USING (user_id, split)) WHERE age < {LAST_N}),

@@ -50,11 +50,11 @@ def scan_articles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").drop("tokens")
 
 
-@query("SELECT impression_id, source_impression_id, user_id, source_split, len(inview_ids) AS n_inview, len(clicked_ids) AS n_clicked FROM impressions WHERE source_split = 'train'", view=False)
+@query("SELECT impression_id, source_impression_id, user_id, source_split, len(inview_ids) AS n_inview, len(clicked_ids) AS n_clicked FROM impressions", view=False)
 def scan_impressions(spark: SparkSession, d: str) -> DataFrame:
     from quillrank.schema import validate
 
-    rows = validate(table(spark, d, "impressions"), "impressions").filter("source_split = 'train'")
+    rows = validate(table(spark, d, "impressions"), "impressions")
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint")
     return rows.select("impression_id", "source_impression_id", "user_id", "source_split", size("inview_ids").alias("n_inview"), size("clicked_ids").alias("n_clicked"))
 
@@ -100,14 +100,13 @@ def adapt_documents(spark: SparkSession, d: str) -> DataFrame:
     return adapt_articles(nested).select("article_id", "title", "category", "subcategory", "published_time")
 
 
-@query("""SELECT user_id, article_id, position, "timestamp" FROM (SELECT user_id, unnest(ids) AS article_id, unnest(ts) AS "timestamp", generate_subscripts(ids, 1)::INT - 1 AS position
-  FROM (SELECT user_id, list(article_id ORDER BY position, article_id, "timestamp" NULLS FIRST) AS ids, list("timestamp" ORDER BY position, article_id, "timestamp" NULLS FIRST) AS ts
-        FROM hist WHERE snapshot = 'final' GROUP BY 1))""")
+@query("""SELECT user_id, snapshot, article_id, position, "timestamp" FROM (SELECT user_id, snapshot, unnest(ids) AS article_id, unnest(ts) AS "timestamp", generate_subscripts(ids, 1)::INT - 1 AS position
+  FROM (SELECT user_id, snapshot, list(article_id ORDER BY position, article_id, "timestamp" NULLS FIRST) AS ids, list("timestamp" ORDER BY position, article_id, "timestamp" NULLS FIRST) AS ts
+        FROM hist GROUP BY 1, 2))""")
 def history_explode(spark: SparkSession, d: str) -> DataFrame:
-    rows = base.history(spark, d).filter("snapshot = 'final'")
-    packed = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("position", "article_id", "timestamp"))).alias("x"))
-    lists = packed.select("user_id", F.col("x.article_id").alias("ids"), F.col("x.timestamp").alias("ts"))
-    return raw.history_rows(lists, "user_id", "ids", "ts", F.lit("final")).drop("snapshot")
+    packed = base.history(spark, d).groupBy("user_id", "snapshot").agg(F.array_sort(F.collect_list(F.struct("position", "article_id", "timestamp"))).alias("x"))
+    lists = packed.select("user_id", "snapshot", F.col("x.article_id").alias("ids"), F.col("x.timestamp").alias("ts"))
+    return raw.history_rows(lists, "user_id", "ids", "ts", F.col("snapshot"))
 
 
 @query("""SELECT user_id, arg_min(snapshot, (position, snapshot, article_id)) AS snapshot, arg_min(article_id, (position, snapshot, article_id)) AS article_id FROM hist GROUP BY 1""")
@@ -169,10 +168,10 @@ def split_val_days(spark: SparkSession, d: str) -> DataFrame:
     return base.impressions(spark, d).select("impression_id", "split")
 
 
-@query("""SELECT split, count(*) AS n_impressions, count(DISTINCT user_id) AS n_users, sum(len(clicked_ids))::BIGINT AS n_clicks, min("timestamp") AS t_min, max("timestamp") AS t_max,
+@query("""SELECT split, count(*) AS n_impressions, count(DISTINCT user_id) AS n_users, sum(len(clicked_ids))::BIGINT AS n_clicks, min(t) AS t_min, max(t) AS t_max,
   string_agg(DISTINCT source_split, ',' ORDER BY source_split) AS sources FROM imp GROUP BY 1""")
 def split_meta(spark: SparkSession, d: str) -> DataFrame:
-    return sp.split_meta(base.impressions(spark, d))
+    return base.split_meta(spark, d)
 
 
 @query("SELECT split, snapshot FROM chosen")
@@ -182,7 +181,7 @@ def asof_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT b.split, a.split AS prev_split, a.t_max < b.t_min AS is_disjoint FROM meta a JOIN meta b ON (a.split, b.split) IN (('train', 'val'), ('val', 'test'))")
 def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
-    return sp.split_order(sp.split_meta(base.impressions(spark, d)))
+    return sp.split_order(base.split_meta(spark, d))
 
 
 # feature store --------------------------------------------------------------------------
@@ -248,7 +247,7 @@ def profiles_semi(spark: SparkSession, d: str) -> DataFrame:
     return base.profiles(spark, d).join(users, ["user_id", "split"], "left_semi").select("user_id", "n_clicks")
 
 
-@query("SELECT impression_id FROM samp")
+@query("SELECT impression_id FROM drawn")
 def sample_n(spark: SparkSession, d: str) -> DataFrame:
     return base.test_sample(spark, d).select("impression_id")
 
@@ -260,9 +259,10 @@ def pool_circulating(spark: SparkSession, d: str) -> DataFrame:
     return ft.build_pool(base.articles(spark, d), base.split(spark, d, "test"), "circulating")[0]
 
 
-@query("""SELECT article_id FROM art WHERE published_time <= (SELECT max("timestamp") FROM samp)""")
+@query("""SELECT article_id FROM art WHERE published_time <= (SELECT max(t) FROM samp)""")
 def pool_fresh(spark: SparkSession, d: str) -> DataFrame:
-    return ft.build_pool(base.articles(spark, d), base.split(spark, d, "test"), "fresh")[0]
+    test = base.split(spark, d, "test").withColumn("timestamp", sp.within(F.col("timestamp"), base.PERIOD))
+    return ft.build_pool(base.articles(spark, d), test, "fresh")[0]
 
 
 @query("SELECT article_id, term, tf, round(weight, 6) AS weight FROM post")
@@ -302,7 +302,7 @@ def bm25_score_pairs(spark: SparkSession, d: str) -> DataFrame:
     return lx.score_pairs(pairs, lx.query_terms(base.clicks(spark, d, test), features), lx.postings(features)).select("user_id", "article_id", _r("bm25"))
 
 
-_RECALL = """, got AS ({top}), c AS (SELECT user_id, split, unnest(clicked_ids) AS article_id FROM samp JOIN (SELECT user_id, split FROM prof) USING (user_id, split))
+_RECALL = """, got AS ({top}), c AS (SELECT user_id, split, unnest(clicked_ids) AS article_id FROM drawn JOIN (SELECT user_id, split FROM prof) USING (user_id, split))
 SELECT count(*) AS n_clicks, round(count(*) FILTER (WHERE rank <= 50) / count(*)::DOUBLE, 6) AS recall_50, round(count(*) FILTER (WHERE rank <= 100) / count(*)::DOUBLE, 6) AS recall_100,
   round(count(*) FILTER (WHERE rank <= 200) / count(*)::DOUBLE, 6) AS recall_200 FROM c LEFT JOIN got USING (user_id, split, article_id)"""
 
@@ -312,7 +312,7 @@ def _recall(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
     return out.select("n_clicks", *[_r(f"recall_{k}") for k in (50, 100, 200)])
 
 
-@query(_RECALL.format(top=_BM25_TOP.format(where="WHERE article_id IN (SELECT unnest(inview_ids) FROM samp)", k=200)))
+@query(_RECALL.format(top=_BM25_TOP.format(where="WHERE article_id IN (SELECT unnest(inview_ids) FROM drawn)", k=200)))
 def recall_bm25(spark: SparkSession, d: str) -> DataFrame:
     return _recall(spark, d, _retrieve(spark, d, base.test_sample(spark, d), 200, "circulating"))
 
@@ -365,7 +365,7 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     return _sem(spark, d, base.split(spark, d, "test"), 10, "all").select("user_id", "article_id", _r("score"), "rank")
 
 
-@query(_RECALL.format(top=_SEM_TOP.format(where="AND vec.article_id IN (SELECT unnest(inview_ids) FROM samp)", k=200)))
+@query(_RECALL.format(top=_SEM_TOP.format(where="AND vec.article_id IN (SELECT unnest(inview_ids) FROM drawn)", k=200)))
 def recall_semantic(spark: SparkSession, d: str) -> DataFrame:
     return _recall(spark, d, _sem(spark, d, base.test_sample(spark, d), 200, "circulating"))
 

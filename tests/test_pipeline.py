@@ -124,7 +124,7 @@ def test_no_leakage_in_profiles(spark, data):
     """Snapshots end before their split starts and popularity counts train clicks only."""
     from quillrank.plans import base
 
-    chosen = base.chosen(spark, data).join(splits.split_meta(base.impressions(spark, data)), "split")
+    chosen = base.chosen(spark, data).join(base.split_meta(spark, data), "split")
     taken = base.table(spark, data, "snapshots")
     assert chosen.join(taken, "snapshot").filter("taken_at > t_min").count() == 0
     total = base.popularity(spark, data).agg(F.sum("train_clicks")).first()[0]
