@@ -12,7 +12,7 @@ from quillrank.config import load_config
 from quillrank.session import build_session
 
 STAGES = {
-    "clean": pipeline.clean, "split": pipeline.split, "features": pipeline.build_features, "recall": pipeline.recall, "evaluate": pipeline.evaluate,
+    "fetch": pipeline.fetch, "clean": pipeline.clean, "split": pipeline.split, "features": pipeline.build_features, "recall": pipeline.recall, "evaluate": pipeline.evaluate,
     "submit": pipeline.submit, "infer-tsv": pipeline.infer_tsv, "infer-parquet": pipeline.infer_parquet, "score": pipeline.score_externally,
 }
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillrank.operators.cut import cut
 
 K1, B = 1.2, 0.75
+#: Scores that a task holds at once while it answers users from a block of articles (8 bytes each).
+SCORES = 4_000_000
 
 
 def document_frequencies(features: DataFrame) -> DataFrame:
@@ -50,10 +52,10 @@ def retrieve(
     """``(user_id, split, article_id, score, rank)``: the best ``k`` articles of the pool.
 
     Articles and users fall into blocks by hash, and every two blocks meet in one
-    task: an inverted index of the article block answers the user block with one
-    dense row of scores per user, and only ``k`` rows leave. So the cost of a frequent
-    term is a vector addition and not a join of its postings with all users. Only
-    positive scores are returned, ties by id.
+    task: the product of users by terms and terms by articles, summed up term by term
+    in a dense matrix of bounded size, of which only ``k`` rows per user leave. So the cost of
+    a frequent term is one outer product and not a join of its postings with all
+    users. Only positive scores are returned, ties by id.
     """
     index = cut(index.join(pool.select("article_id"), "article_id", "left_semi").select("article_id", "term", "weight"))
     queries = cut(queries)
@@ -66,38 +68,54 @@ def retrieve(
     right = queries.withColumn("_ub", F.pmod(F.xxhash64("user_id"), F.lit(ub)).cast("int")).withColumn("_ab", every(ab))
 
     def answer(docs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"user_id": [], "split": [], "article_id": [], "score": []}
+        parts = []
         if len(docs) and len(asks):
             ids, place = np.unique(docs["article_id"].to_numpy(str), return_inverse=True)
-            order = np.argsort(docs["term"].to_numpy(str), kind="stable")
-            terms = docs["term"].to_numpy(str)[order]
-            place, weight = place[order], docs["weight"].to_numpy()[order]
-            heads = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
-            ends = np.append(heads[1:], len(terms))
-            lists = {t: (a, e) for t, a, e in zip(terms[heads], heads, ends, strict=True)}
-            asks = asks.sort_values(["user_id", "split", "term"])
-            for (user, split), q in asks.groupby(["user_id", "split"], sort=False):
-                score = np.zeros(len(ids))
-                for term, qtf in zip(q["term"], q["qtf"], strict=True):
-                    if (at := lists.get(term)) is not None:
-                        score[place[at[0] : at[1]]] += qtf * weight[at[0] : at[1]]
-                score = np.round(score, digits)
-                hit = np.flatnonzero(score > 0)
-                if len(hit) > k:
-                    least = -np.partition(-score[hit], k - 1)[k - 1]
-                    hit = hit[score[hit] >= least]
-                best = hit[np.lexsort((ids[hit], -score[hit]))][:k]
-                out["user_id"] += [user] * len(best)
-                out["split"] += [split] * len(best)
-                out["article_id"] += ids[best].tolist()
-                out["score"] += score[best].tolist()
-        return pd.DataFrame(out)
+            terms, term = np.unique(docs["term"].to_numpy(str), return_inverse=True)
+            by = np.argsort(term, kind="stable")
+            place, weight = place[by], docs["weight"].to_numpy()[by]
+            edges = np.searchsorted(term[by], np.arange(len(terms) + 1))
+            asks = asks.sort_values(["user_id", "split"], kind="stable")
+            who = asks.groupby(["user_id", "split"], sort=False).ngroup().to_numpy()
+            names = asks[["user_id", "split"]].iloc[np.flatnonzero(np.diff(who, prepend=-1))]
+            wanted, qtf = asks["term"].to_numpy(str), asks["qtf"].to_numpy(float)
+            asked = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+            known = terms[asked] == wanted
+            step = max(1, SCORES // len(ids))
+            for s in range(0, len(names), step):
+                # users by articles: a term adds one outer product for all its users at once
+                scores = np.zeros((min(step, len(names) - s), len(ids)))
+                mine = np.flatnonzero(known & (who >= s) & (who < s + step))
+                mine = mine[np.argsort(asked[mine], kind="stable")]
+                heads = np.flatnonzero(np.diff(asked[mine], prepend=-1, append=len(terms)))
+                for a, b in zip(heads[:-1], heads[1:], strict=True):
+                    at = slice(edges[asked[mine[a]]], edges[asked[mine[a]] + 1])
+                    scores[who[mine[a:b], None] - s, place[at]] += qtf[mine[a:b], None] * weight[at]
+                scores = np.round(scores, digits)
+                i, j = best_per_row(scores, k, above=0.0)
+                parts.append(pd.DataFrame({"user_id": names["user_id"].to_numpy()[s + i], "split": names["split"].to_numpy()[s + i], "article_id": ids[j], "score": scores[i, j]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"user_id": [], "split": [], "article_id": [], "score": []})
 
     found = left.groupBy("_ab", "_ub").cogroup(right.groupBy("_ab", "_ub")).applyInPandas(answer, "user_id string, split string, article_id string, score double")
     w = Window.partitionBy("user_id", "split").orderBy(F.desc("score"), "article_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def best_per_row(scores: np.ndarray, k: int, above: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` highest scores (over ``above``), best first, ties by column."""
+    if k < scores.shape[1]:
+        hit = scores >= np.partition(scores, -k, axis=1)[:, -k, None]
+    else:
+        hit = np.ones(scores.shape, bool)
+    if above is not None:
+        hit &= scores > above
+    i, j = np.nonzero(hit)
+    by = np.lexsort((j, -scores[i, j], i))
+    i, j = i[by], j[by]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k]
+
+
 def user_blocks(spark: SparkSession, users: int, article_blocks: int, block_users: int) -> int:
     """Blocks of users: of bounded size, and enough of them to occupy all cores."""
     wanted = -(-spark.sparkContext.defaultParallelism // article_blocks)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.vectors import EPS, divide, dot, l2_normalize, norm, sum_vectors
 from quillrank.operators.cut import cut
-from quillrank.operators.lexical import user_blocks
+from quillrank.operators.lexical import best_per_row, user_blocks
 
 
 def align_vectors(articles: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -88,15 +88,11 @@ def retrieve_vectors(users: DataFrame, units: DataFrame, pool: DataFrame, k: int
         if len(docs) and len(q):
             docs = docs.sort_values("article_id")
             ids, m = docs["article_id"].to_numpy(), np.stack(docs["unit"].to_numpy())
-            take = min(k, len(ids))
             for s in range(0, len(q), 256):
                 part = q.iloc[s : s + 256]
                 sims = np.round(np.stack(part["unit"].to_numpy()) @ m.T, digits)
-                least = -np.partition(-sims, take - 1, axis=1)[:, take - 1]
-                for i in range(len(part)):
-                    hit = np.flatnonzero(sims[i] >= least[i])
-                    best = hit[np.argsort(-sims[i][hit], kind="stable")][:take]
-                    parts.append(pd.DataFrame({"user_id": part["user_id"].iloc[i], "split": part["split"].iloc[i], "article_id": ids[best], "score": sims[i][best]}))
+                i, j = best_per_row(sims, k)
+                parts.append(pd.DataFrame({"user_id": part["user_id"].to_numpy()[i], "split": part["split"].to_numpy()[i], "article_id": ids[j], "score": sims[i, j]}))
         return pd.concat(parts) if parts else pd.DataFrame({"user_id": [], "split": [], "article_id": [], "score": []})
 
     found = left.groupBy("_ab", "_ub").cogroup(right.groupBy("_ab", "_ub")).applyInPandas(answer, "user_id string, split string, article_id string, score double")
@@ -189,3 +185,37 @@ def encode_texts(articles: DataFrame, load_encoder, dim: int) -> DataFrame:
             yield pd.DataFrame({"article_id": pdf["article_id"], "vec": list(np.asarray(encode(pdf["_text"].tolist()), np.float32).reshape(len(pdf), dim))})
 
     return articles.select("article_id", text.alias("_text")).mapInPandas(run, "article_id string, vec array<float>")
+
+
+def hashed_encoder(dim: int):
+    """An encoder without a model: signed hashed words, to be used where no better one is at hand."""
+    import zlib
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim), np.float32)
+        for i, text in enumerate(texts):
+            h = np.array([zlib.crc32(w.encode()) for w in text.lower().split()], np.int64)
+            np.add.at(out[i], (h >> 1) % dim, np.where(h & 1, 1.0, -1.0))
+        return out
+
+    return encode
+
+
+def cached_vectors(articles: DataFrame, load_encoder, dim: int, path: str, refresh: bool = False) -> DataFrame:
+    """``(article_id, vec)`` from ``path`` where the stored ids are exactly the articles', else encoded and stored.
+
+    Vectors belong to ids, not to places, so what has to agree is the set of ids: their
+    number and an order-free checksum of them, which are stored beside the
+    vectors. An encoder must be stored under a path of its own.
+    """
+    spark = articles.sparkSession
+    ids = articles.select("article_id")
+    mark = ids.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("article_id").cast("decimal(38,0)")).alias("sum"), F.lit(dim).alias("dim")).first()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/mark")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not refresh and files.exists(target) and tuple(spark.read.parquet(f"{path}/mark").select("n", "sum", "dim").first()) == tuple(mark):
+        return spark.read.parquet(f"{path}/vectors")
+    files.delete(target, True)  # the mark is the last to be written
+    encode_texts(articles, load_encoder, dim).write.mode("overwrite").parquet(f"{path}/vectors")
+    spark.createDataFrame([mark], "n bigint, sum decimal(38,0), dim int").coalesce(1).write.mode("overwrite").parquet(f"{path}/mark")
+    return spark.read.parquet(f"{path}/vectors")

@@ -327,3 +327,16 @@ def score_externally(spark: SparkSession, truth: str, prediction: str, out: str
     if out:
         Path(out).write_text("\n".join(f"{label}:{found[key]:.4f}" for label, key in (("AUC", "auc"), ("MRR", "mrr"), ("nDCG@5", "ndcg_5"), ("nDCG@10", "ndcg_10"))), encoding="utf-8")
     return found
+
+
+def fetch(spark: SparkSession, sources: str, root: str, ids: str | None = None, group: str = "core", dataset: str | None = None, token_file: str | None = None, force: bool = False, status: bool = False) -> list[dict]:
+    """Fetch the sources listed in a YAML file, or with ``status`` only say which are there."""
+    import yaml
+
+    from quillrank.sources import fetch as ft_
+
+    listed = [ft_.Source(**{k: tuple(v) if isinstance(v, list) else v for k, v in s.items()}) for s in yaml.safe_load(Path(sources).read_text(encoding="utf-8"))]
+    chosen = ft_.select_sources(listed, ids.split(",") if ids else None, group, dataset)
+    if status:
+        return [{"id": s.id, "dataset": s.dataset, "group": s.group, "status": "ready" if ft_.is_ready(Path(root) / s.dataset, s) else "absent"} for s in chosen]
+    return ft_.fetch_sources(chosen, Path(root), ft_.find_token(Path(token_file) if token_file else None), force)

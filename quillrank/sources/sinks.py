@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from quillrank.operators.cut import shared_dir
 from quillrank.schema import schema_of, validate
 
 
@@ -34,16 +38,31 @@ def write_report(report: dict, path: str | Path) -> None:
 def write_submission(lines: DataFrame, out: str | Path, name: str = "prediction.txt", work: str | None = None) -> Path:
     """Zip one text file of ``line`` values in the order of ``row_no``.
 
-    The lines are written by the executors in sorted parts; the driver only appends
-    the parts to the archive, block by block.
+    The executors write the lines in sorted parts to ``work``, by default a folder in
+    the one that all executors share; the driver appends the parts to the archive,
+    one at a time, checks that every line has arrived, and deletes them.
     """
-    out = Path(out)
-    parts = Path(work or f"{out}.parts")
-    ordered = lines.repartitionByRange("row_no").sortWithinPartitions("row_no")
-    ordered.select("line").write.mode("overwrite").text(f"file://{parts.absolute()}")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(name, "w", force_zip64=True) as target:
-        for part in sorted(parts.glob("part-*")):
-            with part.open("rb") as source:
-                while block := source.read(1 << 20):
-                    target.write(block)
+    out, spark = Path(out), lines.sparkSession
+    parts = work or f"{shared_dir(spark)}/quillrank-{uuid.uuid4().hex}"
+    written = Observation()
+    ordered = lines.repartitionByRange("row_no").sortWithinPartitions("row_no").observe(written, F.count(F.lit(1)).alias("lines"))
+    ordered.select("line").write.mode("overwrite").text(parts)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = 0
+    try:
+        names = sorted(f.getPath().getName() for f in files.listStatus(path(parts)) if f.getPath().getName().startswith("part-"))
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(name, "w", force_zip64=True) as target, tempfile.TemporaryDirectory() as here:
+            for part in names:
+                copy = Path(here) / "part"
+                files.copyToLocalFile(False, path(f"{parts}/{part}"), path(f"file://{copy}"), True)
+                with copy.open("rb") as source:
+                    while block := source.read(1 << 20):
+                        found += block.count(b"\n")
+                        target.write(block)
+    finally:
+        files.delete(path(parts), True)
+    if found != written.get["lines"]:
+        out.unlink()
+        raise OSError(f"{written.get['lines']} lines were written, {found} arrived")
     return out

@@ -57,11 +57,18 @@ def test_diversity_entropy_novelty(spark):
 
 
 def test_bootstrap():
-    assert evaluate.bootstrap_ci(np.array([1.0, np.nan, 1.0])) == (1.0, 1.0, 1.0)
-    assert all(np.isnan(evaluate.bootstrap_ci(np.array([]))))
-    assert evaluate.bootstrap_ci(np.array([3.0])) == (3.0, 3.0, 3.0)
-    mean, low, high = evaluate.bootstrap_ci(np.arange(200.0))
+    assert evaluate.mean_interval(np.array([1.0, np.nan, 1.0])) == (1.0, 1.0, 1.0)
+    assert all(np.isnan(evaluate.mean_interval(np.array([]))))
+    assert evaluate.mean_interval(np.array([3.0])) == (3.0, 3.0, 3.0)
+    mean, low, high = evaluate.mean_interval(np.arange(200.0))
     assert low < mean < high and mean == 99.5
+    whole = np.arange(200.0)[np.random.default_rng(13).integers(0, 200, size=(1000, 200))].mean(axis=1)
+    assert (low, high) == tuple(np.percentile(whole, [2.5, 97.5]))  # as if drawn in one go
+    old, evaluate.DRAWN = evaluate.DRAWN, 7_000
+    try:
+        assert evaluate.mean_interval(np.arange(200.0)) == (mean, low, high)
+    finally:
+        evaluate.DRAWN = old
 
 
 def test_poisson_intervals_agree(spark):
@@ -226,6 +233,12 @@ def test_ranks_lines_and_validation(spark, tmp_path):
     assert {r.row_no: r.line for r in lines.collect()} == {0: "77 [2,1,3]", 1: "78 []"}
     out = sinks.write_submission(lines, tmp_path / "p.zip")
     assert zipfile.ZipFile(out).read("prediction.txt").decode() == "77 [2,1,3]\n78 []\n"
+    shared = tmp_path / "shared folder"
+    many = spark.range(5_000).repartition(7).select(F.col("id").alias("row_no"), F.concat(F.lit("æ"), F.col("id").cast("string")).alias("line"))
+    out = sinks.write_submission(many, tmp_path / "q.zip", work=f"file://{shared}")
+    assert zipfile.ZipFile(out).read("prediction.txt").decode() == "".join(f"æ{i}\n" for i in range(5_000))
+    assert not shared.exists()  # the parts are gone
+    assert zipfile.ZipFile(sinks.write_submission(many.limit(0), tmp_path / "r.zip")).read("prediction.txt") == b""
     bad = spark.createDataFrame([(1, [1, 1]), (3, [1]), (3, [1])], "impression_id bigint, ranks array<int>")
     found = {(r.impression_id, r.problem) for r in submission.submission_problems(bad, order).collect()}
     assert found == {(1, "no permutation"), (2, "missing"), (3, "unknown"), (3, "duplicate")}
@@ -317,12 +330,94 @@ def test_archives(tmp_path):
         fetch.extract(tmp_path / "b.zip", tmp_path / "out2")
     assert fetch.write_manifest(tmp_path / "out", files).exists()
     assert fetch.find_folder(tmp_path, ["one.txt"]).name == "x"
+    with pytest.raises(FileNotFoundError):
+        fetch.find_folder(tmp_path, ["one.txt"], prefer="y")
     sources = [fetch.Source("a", "u", "d"), fetch.Source("b", "u", "e", "optional")]
     assert [s.id for s in fetch.select_sources(sources, group="all", dataset="e")] == ["b"]
     with pytest.raises(SystemExit):
         fetch.select_sources(sources, ids=["zz"])
 
 
+@pytest.fixture
+def server(tmp_path):
+    """A local file server that notes who asks, and redirects ``/moved`` to itself and ``/away`` to another name."""
+    import functools
+    import http.server
+    import threading
+
+    asked = []
+    folder = tmp_path / "served"
+    folder.mkdir()
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers.get("Authorization")))
+            if self.path in ("/moved", "/away"):
+                self.send_response(302)
+                host = "127.0.0.1" if self.path == "/moved" else "localhost"
+                self.send_header("Location", f"http://{host}:{self.server.server_port}/a.zip")
+                self.end_headers()
+            else:
+                super().do_GET()
+
+        def log_message(self, *args):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Handler, directory=folder)) as up:
+        threading.Thread(target=up.serve_forever, daemon=True).start()
+        yield f"http://127.0.0.1:{up.server_port}", folder, asked
+        up.shutdown()
+
+
+def test_token_stays_with_its_host(server, tmp_path, monkeypatch):
+    url, folder, asked = server
+    (folder / "a.zip").write_bytes(b"abc")
+    monkeypatch.setenv("SOURCE_TOKEN", "t")
+    assert fetch.download(f"{url}/moved", tmp_path / "x", fetch.find_token()).read_bytes() == b"abc"
+    assert asked == [("/moved", "Bearer t"), ("/a.zip", "Bearer t")]
+    asked.clear()
+    fetch.download(f"{url}/away", tmp_path / "y", "t")
+    assert asked == [("/away", "Bearer t"), ("/a.zip", None)]
+    monkeypatch.delenv("SOURCE_TOKEN")
+    (tmp_path / "token").write_text(" file \n")
+    assert fetch.find_token(tmp_path / "token") == "file" and fetch.find_token(tmp_path / "none") is None
+
+
+def test_fetching_sources(server, tmp_path):
+    url, folder, asked = server
+    with zipfile.ZipFile(folder / "a.zip", "w") as z:
+        z.writestr("top/x.txt", "1")
+    good = fetch.sha256_of(folder / "a.zip")
+    source = fetch.Source("a", f"{url}/a.zip", "d", markers=("x.txt",), sha256=good)
+    root = tmp_path / "raw"
+    first = fetch.fetch_sources([source], root)
+    assert [r["status"] for r in first] == ["fetched"] and (root / "d/x.txt").read_text() == "1" and (root / "manifest.json").exists()
+    asked.clear()
+    assert [r["status"] for r in fetch.fetch_sources([source], root)] == ["ready"] and not asked
+    bad = fetch.Source("b", f"{url}/a.zip", "e", markers=("x.txt",), sha256="0" * 64)
+    assert [r["status"] for r in fetch.fetch_sources([bad, source], root)] == ["failed: checksum", "ready"]
+    assert not (root / "e/x.txt").exists()
+
+
+def test_vector_cache(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    articles = spark.createDataFrame([("N2", "b", None), ("N1", "a", "x")], "article_id string, title string, abstract string")
+
+    def load():
+        calls.add(1)
+        return semantic.hashed_encoder(8)
+
+    store = f"file://{tmp_path}/vectors"
+    first = {r.article_id: list(r.vec) for r in semantic.cached_vectors(articles, load, 8, store).collect()}
+    done = calls.value
+    assert done > 0 and set(first) == {"N1", "N2"} and first["N1"] != first["N2"]
+    again = {r.article_id: list(r.vec) for r in semantic.cached_vectors(articles, load, 8, store).collect()}
+    assert again == first and calls.value == done  # read, not encoded
+    more = articles.union(spark.createDataFrame([("N3", None, None)], articles.schema))
+    assert semantic.cached_vectors(more, load, 8, store).count() == 3 and calls.value > done
+    assert semantic.cached_vectors(more, load, 8, store, refresh=True).count() == 3
+
+
 def test_streaming_ranks(spark, data, tmp_path):
     from quillrank.streaming.online import click_counts, read_impressions, start_ranking
 
