@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.operators.cut import cut
+from quillrank.sources.raw import surrogate_ids
 
 #: Lists longer than this are ranked by distributed counting instead of one window.
 LONG_LIST = 200_000
@@ -96,17 +97,28 @@ def _borda(
     clean: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None, missing: str, long_list: int
 ) -> DataFrame:
     weights = weights or [1.0] * len(scores)
-    sizes = clean.groupBy(group).count().filter(F.col("count") > long_list).select(group)
-    n_long = sizes.limit(1).count()
-    if n_long:
-        short = clean.join(sizes, group, "left_anti")
-        pieces = [_points_by_window(short, group, scores, missing), _points_by_counting(clean.join(sizes, group, "left_semi"), group, item, scores, missing)]
-        pointed = pieces[0].unionByName(pieces[1].select(pieces[0].columns))
-    else:
-        pointed = _points_by_window(clean, group, scores, missing)
     total = reduce(lambda a, b: a + b, [F.lit(float(w)) * F.col(f"_p_{s}") for w, s in zip(weights, scores, strict=True)])
-    out = pointed.select(group, item, *scores, F.round(total, 9).alias("borda_points"), F.col("_m").alias("list_size"))
-    return out.withColumn("borda_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("borda_points"), item)))
+
+    def pointed(points: DataFrame) -> DataFrame:
+        return points.select(group, item, *scores, F.round(total, 9).alias("borda_points"), F.col("_m").alias("list_size"))
+
+    by_points = Window.partitionBy(group).orderBy(F.desc("borda_points"), item)
+    sizes = cut(clean.groupBy(group).count().filter(F.col("count") > long_list).select(group))
+    if not sizes.limit(1).count():
+        return pointed(_points_by_window(clean, group, scores, missing)).withColumn("borda_rank", F.row_number().over(by_points))
+    # long lists are as many as rows / long_list at most
+    short, long = clean.join(sizes, group, "left_anti"), clean.join(sizes, group, "left_semi")
+    ranked = pointed(_points_by_window(short, group, scores, missing)).withColumn("borda_rank", F.row_number().over(by_points))
+    return ranked.unionByName(_ranked_by_counting(pointed(_points_by_counting(long, group, item, scores, missing)), group, item))
+
+
+def _ranked_by_counting(pointed: DataFrame, group: str, item: str) -> DataFrame:
+    """``borda_rank`` of long lists: numbers of all rows in order, less that of their list's first; no list meets in one task."""
+    falling = cut(pointed.withColumn("_falling", -F.col("borda_points")))
+    numbered = cut(surrogate_ids(falling, [group, "_falling", item], "_no"))
+    first = numbered.groupBy(group).agg(F.min("_no").alias("_first"))
+    out = numbered.join(F.broadcast(cut(first)), group).withColumn("borda_rank", (F.col("_no") - F.col("_first") + 1).cast("int"))
+    return out.select(*pointed.columns, "borda_rank")
 
 
 def _beats(a: str, b: str, scores: list[str], majority: int):
