@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from quillrank.operators.cut import cut
 
+#: Most sources of a mix; their sizes and targets (some 100 bytes each) are planned on the driver.
+MAX_SOURCES = 1_000_000
+
 
 def source_key(c: Column | str) -> Column:
     """Source names compare without outer blanks and case; blank is none."""
@@ -69,6 +72,24 @@ def plan_mix(
     return temperature_weights(size, base, exponent), exponent, min(float(budget), largest(exponent))
 
 
+def _wanted(targets: DataFrame) -> DataFrame:
+    wanted = targets.select(source_key("source").alias("_key"), F.col("target_share").cast("double").alias("target_share"),
+                            F.coalesce(F.col("max_repeats"), F.lit(1)).cast("int").alias("max_repeats"))
+    wanted = wanted.filter(F.col("_key").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0))
+    return wanted.groupBy("_key").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+
+
+def available(items: DataFrame, source: Column, size: str, targets: DataFrame) -> float:
+    """The largest budget that any mix of the sources' own shares and the targets can reach within the limits.
+
+    It is reached at exponent 1, where weights are the sources' own shares: the total
+    size times the smallest limit.
+    """
+    have = items.select(source_key(source).alias("_key"), F.col(size).alias("_n")).groupBy("_key").agg(F.sum("_n").alias("_n"))
+    found = have.join(_wanted(targets), "_key").filter(F.col("_n") > 0).agg(F.sum("_n"), F.min("max_repeats")).first()
+    return float((found[0] or 0) * (found[1] or 0))
+
+
 def mix_sources(
     items: DataFrame, item: str, source: Column, size: str, targets: DataFrame, *, budget: float | None = None,
     entropy: float | None = None, seed: int = 13, block_items: int = 2_000,
@@ -88,14 +109,13 @@ def mix_sources(
     found from block totals and then inside one block, so no source is gathered or
     sorted as a whole.
     """
-    wanted = targets.select(source_key("source").alias("_key"), F.col("target_share").cast("double").alias("target_share"),
-                            F.coalesce(F.col("max_repeats"), F.lit(1)).cast("int").alias("max_repeats"))
-    wanted = wanted.filter(F.col("_key").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0))
-    wanted = wanted.groupBy("_key").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    wanted = _wanted(targets)
     order = F.xxhash64(F.col("item"), F.lit(seed))
     rows = items.select(F.col(item).alias("item"), source_key(source).alias("_key"), F.col(size).cast("bigint").alias("size"))
     rows = cut(rows.filter(F.col("item").isNotNull() & (F.col("size") > 0)).withColumn("_order", order))
-    sizes = rows.groupBy("_key").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).join(wanted, "_key").orderBy("_key").collect()
+    sizes = rows.groupBy("_key").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).join(wanted, "_key").orderBy("_key").limit(MAX_SOURCES + 1).collect()
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: one exponent is fitted for all of them on the driver")
     kind = items.schema[item].dataType.simpleString()
     spark = items.sparkSession
     if not sizes:

@@ -21,6 +21,19 @@ def test_matches_sql(spark, data, name):
     assert_same(queries.QUERIES[name](spark, data), connect(data), queries.ORACLE[name])
 
 
+def test_p9_tempered_has_an_exponent(spark, data):
+    got = queries.p9_tempered(spark, data).toPandas()
+    assert 0 < got.exponent.iloc[0] < 1 and got.exponent.nunique() == 1
+    by = got.groupby("source").agg(target=("target_share", "first"), planned=("planned_share", "first"), reached=("reached_share", "first"), times=("times", "max"))
+    assert by.planned.sum() == pytest.approx(1) and by.reached.sum() == pytest.approx(1)
+    assert (by.planned / by.target).max() > 1.05  # the targets alone would ask too much of small sources
+    limits = {r.source.strip().lower(): r.max_repeats for r in spark.read.parquet(f"{data}/mix_targets.parquet").filter("source IS NOT NULL").collect()}
+    assert all(t <= limits[s] for s, t in by.times.items())
+    total = (got["size"] * got.times).sum()
+    want = 0.9 * mix.available(tokens.token_counts(spark.read.parquet(f"{data}/documents.parquet"), "text", ["source"]), F.col("source"), "n_tokens", spark.read.parquet(f"{data}/mix_targets.parquet"))
+    assert total == pytest.approx(want, rel=0.1)
+
+
 @pytest.mark.parametrize("name", ["p1_article_terms", "p1_token_terms", "p5_neighbours", "p8_containers", "p9_selection", "p10_found", "p10_languages"])
 def test_gives_rows(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() > 0
