@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.operators.cut import cut
+
 #: Up to this many versions the version table is broadcast.
 MAX_BROADCAST_VERSIONS = 10_000
 #: An entity with more events than this in one version has them spread over several tasks.
@@ -108,6 +110,47 @@ def attributes_as_of(
     )
 
 
+def known_facts(
+    events: DataFrame, facts: DataFrame, versions: DataFrame, *,
+    event_time: str, entity: str, version: str = "snapshot", taken: str = "taken_at", valid_time: str = "timestamp",
+    values: tuple[str, ...] = ("article_id", "position"), keep: tuple[str, ...] = ("impression_id",),
+) -> DataFrame:
+    """What :func:`facts_as_of` says, without the product of an entity's events and facts.
+
+    Two kinds of rows. For every event with a known version one with ``keep``, entity,
+    version, ``event_time`` and ``n_known``, the number of facts available to it (0
+    without any). For every different fact of an entity and version that some event can see one with
+    entity, version, ``valid_time`` and ``values``. An event's facts are those of its entity and version whose time is
+    NULL or not after the event's; ``n_known`` of them there are. Rows grow with events plus facts.
+
+    Facts valid before their version was taken are counted by a map-side combined sum;
+    only later ones are ordered, as rectangles that begin with each. Facts with a NULL
+    first value do not count, equal ones count once; columns of the other kind are NULL.
+    """
+    strips = version_strips(versions, version, taken)
+    bounded = F.broadcast(strips) if strips.limit(MAX_BROADCAST_VERSIONS + 1).count() <= MAX_BROADCAST_VERSIONS else strips
+    f = facts.select(F.col(entity).alias("_entity"), F.col(version).alias("_version"), F.col(valid_time).alias("_time"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    f = f.filter(F.col("_entity").isNotNull() & F.col(f"_v_{values[0]}").isNotNull() & F.col("_version").isNotNull()).distinct().join(bounded, "_version")
+    begins = F.when(F.col("_time").isNull() | (F.col("_time") <= F.col("_from")), F.col("_from")).otherwise(F.col("_time"))
+    f = cut(f.withColumn("_begins", begins).filter(F.col("_to").isNull() | (F.col("_begins") < F.col("_to"))).drop("_from", "_to"))
+    e = events.select(F.struct(*keep).alias("_keep"), F.col(entity).alias("_entity"), F.col(event_time).alias("_at")).filter(F.col("_entity").isNotNull())
+    e = e.join(bounded, (F.col("_from") <= F.col("_at")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))).drop("_to")
+    steps = f.groupBy("_entity", "_version", "_begins").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_entity", "_version").orderBy("_begins")
+    rect = steps.select("_entity", "_version", "_begins", F.lead("_begins").over(w).alias("_ends"),
+                        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_n"))
+    hit = [e[c] == rect[c] for c in ("_entity", "_version")] + [rect["_begins"] <= e["_at"], rect["_ends"].isNull() | (e["_at"] < rect["_ends"])]
+    counted = e.join(rect, hit, "left").select("_keep", e["_entity"], e["_version"], "_at", F.coalesce("_n", F.lit(0)).cast("bigint").alias("_n"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    of_events = counted.select(
+        *[F.col(f"_keep.{c}").alias(c) for c in keep], F.col("_entity").alias(entity), F.col("_version").alias(version), F.col("_at").alias("event_time"),
+        F.col("_n").alias("n_known"), none(facts, valid_time).alias("valid_time"), *[none(facts, v).alias(v) for v in values])
+    of_facts = f.select(
+        *[none(events, c).alias(c) for c in keep], F.col("_entity").alias(entity), F.col("_version").alias(version), none(events, event_time).alias("event_time"),
+        F.lit(None).cast("bigint").alias("n_known"), F.col("_time").alias("valid_time"), *[F.col(f"_v_{v}").alias(v) for v in values])
+    return of_events.unionByName(of_facts)
+
+
 def facts_as_of(
     events: DataFrame, facts: DataFrame, versions: DataFrame, *,
     event_time: str, entity: str, version: str = "snapshot", taken: str = "taken_at", valid_time: str = "timestamp",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.ids import canonical_article_id
 from quillrank.operators.cut import cut
-from quillrank.operators.eventtime import attributes_as_of, facts_as_of
+from quillrank.operators.eventtime import attributes_as_of, facts_as_of, known_facts
 from quillrank.operators.keystats import heavy_keys, key_stats
 from quillrank.sources.tables import table
 
@@ -45,7 +45,12 @@ def p7_history(spark: SparkSession, d: str) -> DataFrame:
     return facts_as_of(table(spark, d, "impressions"), _history(spark, d), table(spark, d, "snapshots"), event_time="timestamp", entity="user_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_article_clicks": p2_article_clicks, "p7_found": p7_found, "p7_attributes": p7_attributes, "p7_history": p7_history}
+def p7_known_history(spark: SparkSession, d: str) -> DataFrame:
+    return known_facts(table(spark, d, "impressions"), _history(spark, d), table(spark, d, "snapshots"), event_time="timestamp", entity="user_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_article_clicks": p2_article_clicks, "p7_found": p7_found, "p7_attributes": p7_attributes, "p7_history": p7_history,
+           "p7_known_history": p7_known_history}
 
 _HISTORY = """
 h AS (SELECT DISTINCT user_id, CASE WHEN regexp_matches(article_id, '[0-9]{9}')
@@ -66,5 +71,11 @@ ORACLE = {
     "p2_article_clicks": f'WITH {_HISTORY} SELECT article_id, count(*)::BIGINT AS clicks, count(DISTINCT user_id)::BIGINT AS users, max("timestamp") AS last_click FROM h GROUP BY article_id',
     "p7_found": _AS_OF + "SELECT impression_id, article_id FROM r WHERE rn = 1 AND article_id IS NOT NULL",
     "p7_history": _AS_OF + "SELECT impression_id, article_id, position FROM j WHERE article_id IS NOT NULL",
+    "p7_known_history": _AS_OF + """, s AS (SELECT snapshot, taken_at, lead(taken_at) OVER (ORDER BY taken_at, snapshot) AS until FROM (SELECT DISTINCT snapshot, taken_at FROM snapshots
+    WHERE snapshot IS NOT NULL AND taken_at IS NOT NULL))
+SELECT v.impression_id, v.user_id, v.snapshot, v.at AS event_time, count(j.article_id)::BIGINT AS n_known, NULL::TIMESTAMP AS valid_time, NULL::VARCHAR AS article_id, NULL::INT AS position
+FROM v LEFT JOIN j USING (impression_id) WHERE v.user_id IS NOT NULL AND v.snapshot IS NOT NULL GROUP BY ALL
+UNION ALL SELECT NULL, h.user_id, h.snapshot, NULL, NULL, h."timestamp", h.article_id, h.position FROM h JOIN s USING (snapshot)
+WHERE h.user_id IS NOT NULL AND h.article_id IS NOT NULL AND (until IS NULL OR coalesce(greatest(h."timestamp", taken_at), taken_at) < until)""",
     "p7_attributes": _AS_OF + "SELECT impression_id, known_version, article_id, position, known_last FROM r WHERE rn = 1",
 }

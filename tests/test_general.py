@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillrank.functions.ids import canonical_article_id
-from quillrank.operators.eventtime import attributes_as_of, facts_as_of, version_strips
+from quillrank.operators.eventtime import attributes_as_of, facts_as_of, known_facts, version_strips
 from quillrank.operators.keystats import heavy_keys, key_stats
 from quillrank.operators.skew import join_key_stats
 
@@ -91,11 +91,22 @@ def test_facts_as_of_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(eventtime, "BUSY", busy)
         got = facts_as_of(e, f, v, event_time="timestamp", entity="user_id")
         assert sorted((r.impression_id, r.article_id, r.position or -1) for r in got.collect()) == sorted(want)
+    rows = known_facts(e, f, v, event_time="timestamp", entity="user_id").collect()
+    seen = [r for r in rows if r.n_known is None]  # every fact once, and what an event can see follows from its row
+    expanded = []
+    for r in rows:
+        if r.n_known is not None:
+            mine = [(r.impression_id, x.article_id, x.position or -1) for x in seen
+                    if (x.user_id, x.snapshot) == (r.user_id, r.snapshot) and (x.valid_time is None or x.valid_time <= r.event_time)]
+            assert len(mine) == r.n_known
+            expanded += mine
+    assert sorted(expanded) == sorted(want) and len(set(seen)) == len(seen)
 
 
 def test_as_of_empty_inputs(spark):
     e, f, v = (spark.createDataFrame([], s) for s in (EVENTS, FACTS, VERSIONS))
     assert attributes_as_of(e, f, v, event_time="timestamp", entity="user_id").count() == 0
+    assert known_facts(e, f, v, event_time="timestamp", entity="user_id").count() == 0
     one = spark.createDataFrame([(1, "u", hours(1), "p")], EVENTS)
     assert attributes_as_of(one, f, v, event_time="timestamp", entity="user_id").first().article_id is None
 
