@@ -9,7 +9,7 @@ from quillrank.llm.cooccur import together
 from quillrank.llm.distinctive import count_tokens_column, count_words, one_text_per_record, parsimonious_terms
 from quillrank.llm.fuse import borda, outright_winners
 from quillrank.llm.langid import fit_on_documents, label_languages, language_of_label
-from quillrank.llm.mix import mix_sources
+from quillrank.llm.mix import available, mix_sources
 from quillrank.llm.pack import fill_containers
 from quillrank.llm.permindex import close_pairs, nearest, usable_vectors
 from quillrank.llm.tokens import TOKENIZER, token_counts
@@ -20,6 +20,8 @@ from quillrank.sources.tables import table
 SCORES = ["bm25", "semantic", "popularity"]
 #: Repeated deliveries up to this many (a number each) are broadcast to be left out; more are joined.
 MAX_AGAIN = 1_000_000
+#: Up to this many impressions (a number each) are broadcast to pick their lists.
+MAX_WANTED = 1_000_000
 
 
 # 1. distinctive terms -------------------------------------------------------------------
@@ -95,7 +97,8 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Distinct candidates of the scored impressions with their first place and ``bm25``."""
     scored = table(spark, d, "per_imp").select("impression_id", "article_id", "bm25").filter(F.col("impression_id").isNotNull())
     lists = table(spark, d, "impressions").select("impression_id", "inview_ids")
-    lists = lists.join(scored.select("impression_id").distinct(), "impression_id", "left_semi")
+    wanted = cut(scored.select("impression_id").distinct())
+    lists = lists.join(F.broadcast(wanted) if wanted.count() <= MAX_WANTED else wanted, "impression_id", "left_semi")
     shown = lists.select("impression_id", F.posexplode("inview_ids").alias("pos", "article_id")).filter(F.col("article_id").isNotNull())
     best = scored.groupBy("impression_id", "article_id").agg(F.max(F.when(~F.isnan("bm25"), F.col("bm25"))).alias("bm25"))
     return shown.groupBy("impression_id", "article_id").agg(F.min("pos").alias("pos")).join(best, ["impression_id", "article_id"], "left")
@@ -153,6 +156,17 @@ def p9_selection(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> Dat
     return mix_sources(sizes, "doc_id", F.col("source"), "n_tokens", table(spark, d, "mix_targets"))
 
 
+def p9_tempered(spark: SparkSession, d: str, tokenizer: str = TOKENIZER, share: float = 0.9) -> DataFrame:
+    """A mix of ``share`` of what all sources with a target can give within their limits.
+
+    That is more than the targets can be met with, so the weights are tempered: the
+    exponent is bisected until small sources stay within their limits, and comes out between 0 and 1.
+    """
+    sizes = cut(token_counts(table(spark, d, "documents"), "text", ["doc_id", "source"], tokenizer))
+    targets = table(spark, d, "mix_targets")
+    return mix_sources(sizes, "doc_id", F.col("source"), "n_tokens", targets, budget=share * available(sizes, F.col("source"), "n_tokens", targets))
+
+
 # 10. languages --------------------------------------------------------------------------
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +188,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_article_terms, p1_token_terms, p3_found, p3_article_pairs, p4_found, p4_top_candidates, p5_found, p5_neighbours,
-    p6_found, p6_fused_order, p8_containers, p9_selection, p10_found, p10_languages,
+    p6_found, p6_fused_order, p8_containers, p9_selection, p9_tempered, p10_found, p10_languages,
 )}
 
 _PAIRS = """

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quillrank.operators.cut import cut
 
+#: Up to this many filled groups (and 32 bytes a group) are broadcast.
+MAX_FILLED = 1_000_000
+
 # working columns, named so that no input column is taken for one
 _SCORE, _BAND, _GROUP, _FILLED = "__top_n_score", "__top_n_band", "__top_n_group", "__top_n_filled"
 
@@ -43,8 +46,10 @@ def top_n_by_bands(
     1. Global score quantiles cut the rows into a few descending bands.
     2. One map-side combined count per group and band tells, from the top band
        down, in which band each group gets its ``n``-th row.
-    3. Bands are taken from the top; a row goes on only while its group was not
-       already filled by higher bands (an anti-join with the filled groups).
+    3. Bands are taken from the top. Rows of the first go on as they are; a row of a
+       lower band only while its group was not already filled by higher bands
+       (an anti-join with the filled groups, which are broadcast where
+       they are few, so that rows that cannot count are left out where they are read).
     4. The survivors - all rows of the boundary band and above - are ranked
        exactly. The ranking limit is applied inside each map task before the
        shuffle, so even millions of rows tied in one boundary band arrive as at
@@ -64,8 +69,13 @@ def top_n_by_bands(
         reached = [F.count_if(F.col(_BAND) <= i).alias(f"c{i}") for i in range(len(edges))]
         counts = banded.groupBy(F.col(group).alias(_GROUP)).agg(*reached)
         filled_in = F.coalesce(*[F.when(F.col(f"c{i}") >= n, i) for i in range(len(edges))])
-        filled = counts.select(_GROUP, filled_in.alias(_FILLED)).filter(F.col(_FILLED).isNotNull())
-        survivors = banded.join(filled, F.col(group).eqNullSafe(F.col(_GROUP)) & (F.col(_BAND) > F.col(_FILLED)), "left_anti")
+        filled = cut(counts.select(_GROUP, filled_in.alias(_FILLED)).filter(F.col(_FILLED).isNotNull()))
+        few = filled.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(F.col(_GROUP).cast("string")), F.lit(0)))).first()
+        if few[0] <= MAX_FILLED and (few[1] or 0) <= 32 * MAX_FILLED:
+            filled = F.broadcast(filled)
+        # a group filled by the top band alone has no use for rows below; rows of the top band are never in question
+        lower = banded.filter(F.col(_BAND) > 0).join(filled, F.col(group).eqNullSafe(F.col(_GROUP)) & (F.col(_BAND) > F.col(_FILLED)), "left_anti")
+        survivors = banded.filter(F.col(_BAND) == 0).unionByName(lower)
     w = Window.partitionBy(group).orderBy(F.col(_SCORE).desc(), *ties)
     ranked = survivors.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
     return ranked.drop(_SCORE, _BAND)
