@@ -49,7 +49,7 @@ def mean_pair_scores(pairs: DataFrame, users: DataFrame, units: DataFrame, name:
     """Cosine of user and article for every pair, 0 where either is unknown."""
     u = users.select("user_id", "split", F.col("unit").alias("_u"))
     a = units.select("article_id", F.col("unit").alias("_a"))
-    joined = pairs.join(u, ["user_id", "split"], "left").join(a, "article_id", "left")
+    joined = pairs.join(a, "article_id", "left").join(u, ["user_id", "split"], "left")
     return joined.withColumn(name, F.coalesce(dot("_u", "_a"), F.lit(0.0))).drop("_u", "_a")
 
 
@@ -57,11 +57,12 @@ def topk_pair_scores(pairs: DataFrame, clicks: DataFrame, units: DataFrame, k: i
     """Mean of a candidate's ``k`` largest cosines to the user's single clicks; 0 without any.
 
     The user's click units are packed to one short list (at most the click limit),
-    so every pair is one row and similarities never become rows.
+    so every pair is one row and similarities never become rows. A pair takes its
+    article's one vector along to its user, and not the user's many to the article.
     """
     mine = clicks.join(units.select("article_id", "unit"), "article_id").groupBy("user_id", "split").agg(F.collect_list("unit").alias("_us"))
     a = units.select("article_id", F.col("unit").alias("_a"))
-    joined = pairs.join(mine, ["user_id", "split"], "left").join(a, "article_id", "left")
+    joined = pairs.join(a, "article_id", "left").join(mine, ["user_id", "split"], "left")
     sims = F.sort_array(F.transform("_us", lambda u: dot(u, F.col("_a"))), asc=False)
     best = F.slice(sims, 1, k)
     mean = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best)
