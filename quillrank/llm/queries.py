@@ -9,7 +9,7 @@ from quillrank.llm.cooccur import together
 from quillrank.llm.distinctive import count_tokens_column, count_words, one_text_per_record, parsimonious_terms
 from quillrank.llm.fuse import borda, outright_winners
 from quillrank.llm.langid import fit_on_documents, label_languages, language_of_label
-from quillrank.llm.mix import available, mix_sources
+from quillrank.llm.mix import available, mix_sources, source_key
 from quillrank.llm.pack import fill_containers
 from quillrank.llm.permindex import close_pairs, nearest, usable_vectors
 from quillrank.llm.tokens import TOKENIZER, token_counts
@@ -149,6 +149,20 @@ def p8_containers(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> Da
     return fill_containers(sizes, "doc_id", "n_tokens", table(spark, d, "container_sizes"), "container_name", "capacity_tokens")
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for ``p8_containers``, counted per kind of container: the last four are 0."""
+    got = cut(p8_containers(spark, d))
+    tokens = token_counts(table(spark, d, "documents"), "text", ["doc_id"]).withColumnRenamed("n_tokens", "_tokens")
+    full = got.filter("container_id IS NOT NULL").groupBy("container_name", "container_id").agg(
+        F.sum("piece_size").alias("used"), F.first("container_fill").alias("said"), F.first("capacity").alias("capacity"))
+    full = full.groupBy("container_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("too_full"), F.count_if(F.col("used") != F.col("said")).alias("wrong_fill"))
+    texts = got.groupBy("container_name", "doc_id", "capacity").agg(F.sum("piece_size").alias("placed"), F.count(F.lit(1)).alias("pieces")).join(tokens, "doc_id")
+    texts = texts.groupBy("container_name").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("placed") != F.col("_tokens")).alias("lost"),
+        F.count_if((F.col("_tokens") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("cut_needlessly"))
+    return texts.join(full, "container_name").select("container_name", "n_texts", "lost", "cut_needlessly", "too_full", "wrong_fill")
+
+
 # 9. a mix of sources --------------------------------------------------------------------
 
 def p9_selection(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -167,6 +181,19 @@ def p9_tempered(spark: SparkSession, d: str, tokenizer: str = TOKENIZER, share:
     return mix_sources(sizes, "doc_id", F.col("source"), "n_tokens", targets, budget=share * available(sizes, F.col("source"), "n_tokens", targets))
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for ``p9_selection``, in one row: the last three numbers are 0."""
+    got, limits = cut(p9_selection(spark, d)), table(spark, d, "mix_targets").select(source_key("source").alias("source"), "max_repeats")
+    limits = limits.groupBy("source").agg(F.max("max_repeats").alias("_most"))
+    whole = got.agg(F.sum(F.col("size") * F.col("times")).alias("_whole"), F.max("size").alias("_largest"))  # one row
+    rows = got.join(limits, "source").join(F.broadcast(whole))
+    # a source's budget ends inside one text, and every source's end moves the whole
+    off = F.abs(F.col("reached_share") - F.col("planned_share")) * F.col("_whole") > 2 * F.col("_largest")
+    return rows.agg(
+        (F.count(F.lit(1)) > 0).alias("has_rows"), F.count_if(F.col("times") > F.col("_most")).alias("too_often"),
+        (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("repeated_rows"), F.count_if(off).alias("off_target"))
+
+
 # 10. languages --------------------------------------------------------------------------
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +215,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_article_terms, p1_token_terms, p3_found, p3_article_pairs, p4_found, p4_top_candidates, p5_found, p5_neighbours,
-    p6_found, p6_fused_order, p8_containers, p9_selection, p9_tempered, p10_found, p10_languages,
+    p6_found, p6_fused_order, p8_containers, p8_checks, p9_selection, p9_tempered, p9_checks, p10_found, p10_languages,
 )}
 
 _PAIRS = """
@@ -246,6 +273,10 @@ SELECT a.article_id AS article_a, b.article_id AS article_b FROM v a JOIN v b ON
     "p6_found": _CLEAN + f""", n AS (SELECT impression_id, count(*) AS m FROM c GROUP BY 1 HAVING count(*) >= 2)
 SELECT x.impression_id, x.article_id FROM c x JOIN n USING (impression_id) JOIN c y ON x.impression_id = y.impression_id AND x.article_id <> y.article_id
 WHERE ({_win("x", "y")}) >= 2 GROUP BY x.impression_id, x.article_id, m HAVING count(*) = m - 1""",
+    "p8_checks": """SELECT container_name, (SELECT count(DISTINCT doc_id) FROM documents) AS n_texts, 0::BIGINT AS lost, 0::BIGINT AS cut_needlessly, 0::BIGINT AS too_full,
+  0::BIGINT AS wrong_fill FROM container_sizes WHERE container_name IS NOT NULL AND capacity_tokens > 0 GROUP BY ALL""",
+    "p9_checks": """SELECT count(*) > 0 AS has_rows, 0::BIGINT AS too_often, 0::BIGINT AS repeated_rows, 0::BIGINT AS off_target
+  FROM documents d JOIN mix_targets t ON lower(trim(d.source)) = lower(trim(t.source)) WHERE length(d.text) > 0 AND target_share > 0 AND coalesce(max_repeats, 1) > 0""",
     "p6_fused_order": _CLEAN + f""", p AS (SELECT impression_id, article_id, {" + ".join(_points(s) for s in SCORES)} AS points FROM c WINDOW g AS (PARTITION BY impression_id))
 SELECT impression_id, article_id, round(points, 4) AS borda_points, row_number() OVER (PARTITION BY impression_id ORDER BY round(points, 9) DESC, article_id)::INT AS borda_rank FROM p""",
 }
