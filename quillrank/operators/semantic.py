@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,10 @@ from quillrank.operators.cut import cut
 from quillrank.operators.lexical import best_per_row, user_blocks
 
 
+#: Cells of the approximate search (67 million articles); their centres are fitted on 8 articles for each, or 20,000.
+MAX_CELLS = 16_384
+
+
 def align_vectors(articles: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """``(article_id, unit, has_vector)`` for every catalogue article.
 
@@ -103,13 +109,13 @@ def retrieve_vectors(users: DataFrame, units: DataFrame, pool: DataFrame, k: int
 
 def fit_cells(units: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 13) -> np.ndarray:
     """Centres of a spherical k-means on a bounded, hash-chosen sample of unit vectors."""
-    rows = units.filter("has_vector").orderBy(F.md5("article_id"), "article_id").limit(sample).select("unit").collect()
-    x = np.array([r[0] for r in rows], np.float64)
-    if not len(x):
+    rows = units.filter("has_vector").orderBy(F.md5("article_id"), "article_id").limit(sample).select("unit").toArrow().column(0).combine_chunks()
+    if not len(rows):
         return np.zeros((1, 1))
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
     centres = x[np.random.default_rng(seed).permutation(len(x))[: min(cells, len(x))]]
     for _ in range(rounds):
-        near = np.argmax(x @ centres.T, axis=1)
+        near = np.concatenate([np.argmax(x[s : s + 2_000] @ centres.T, axis=1) for s in range(0, len(x), 2_000)])
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -127,14 +133,17 @@ def nearest_cells(unit: str, centres: np.ndarray, n: int) -> Column:
     return cells(unit)
 
 
-def retrieve_approximate(users: DataFrame, units: DataFrame, pool: DataFrame, k: int, *, cells: int = 64, probe: int = 32, chunk: int = 20_000) -> DataFrame:
+def retrieve_approximate(users: DataFrame, units: DataFrame, pool: DataFrame, k: int, *, cells: int | None = None, probe: int = 64, chunk: int = 20_000) -> DataFrame:
     """Best ``k`` articles among those in the ``probe`` cells nearest to the user.
 
     An inverted file: every article lies in one cell, cells larger than ``chunk`` are
-    split, and users visit their cells' tasks. Same columns as the exact search.
+    split, and users visit their cells' tasks. Cells are twice the root of the
+    collection unless stated, ``MAX_CELLS`` at most, so a cell grows with the root as
+    well. Same columns as the exact search.
     """
     items = cut(units.filter("has_vector").join(pool.select("article_id"), "article_id", "left_semi"))
-    centres = fit_cells(items, max(1, min(cells, -(-items.count() // 100))))  # cells of a hundred articles at least
+    wanted = cells or min(MAX_CELLS, math.ceil(2 * math.sqrt(items.count())))
+    centres = fit_cells(items, max(1, wanted), sample=max(20_000, 8 * wanted))
     asks = cut(users.filter(norm("unit") > EPS).select("user_id", "split", "unit"))
     if not items.limit(1).count() or not asks.limit(1).count():
         return retrieve_vectors(users, units, pool, k)
