@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import last_n
@@ -643,6 +643,27 @@ def infer_no_profile(spark: SparkSession, d: str) -> DataFrame:
     return sub.ranks(_infer(spark, d, 20)).withColumn("ranks", F.array_join("ranks", ","))
 
 
+@query(""", kk AS (SELECT impression_id, article_id FROM (SELECT samp.impression_id, hs.article_id, row_number() OVER (PARTITION BY samp.impression_id ORDER BY position DESC, hs.article_id DESC) AS rn
+    FROM samp JOIN hs ON hs.user_id = samp.user_id AND hs.split = samp.split AND (hs."timestamp" IS NULL OR hs."timestamp" <= samp."timestamp")) WHERE rn <= 50),
+  m AS (SELECT c.impression_id, c.pos, list_dot_product(a.unit, b.unit) AS s FROM cand c JOIN kk ON kk.impression_id = c.impression_id JOIN vec a ON a.article_id = kk.article_id JOIN vec b ON b.article_id = c.article_id),
+  t AS (SELECT impression_id, pos, avg(s) AS s FROM (SELECT *, row_number() OVER (PARTITION BY impression_id, pos ORDER BY s DESC) AS rn FROM m) WHERE rn <= 5 GROUP BY ALL),
+  r AS (SELECT c.impression_id, c.pos, row_number() OVER (PARTITION BY c.impression_id ORDER BY round(coalesce(t.s, 0), 9) DESC, c.pos) AS rank FROM cand c LEFT JOIN t USING (impression_id, pos))
+SELECT impression_id, string_agg(rank::VARCHAR, ',' ORDER BY pos) AS ranks FROM r GROUP BY 1""")
+def infer_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each impression ranked by its own history, its user's last 50 clicks until then: mean of the five best cosines."""
+    test = base.split(spark, d, "test")
+    past = base.history(spark, d).join(F.broadcast(base.chosen(spark, d)), "snapshot").select("user_id", "split", "article_id", "position", F.col("timestamp").alias("_clicked"))
+    own = test.select("impression_id", "user_id", "split", "timestamp").join(past, ["user_id", "split"]).filter("_clicked IS NULL OR _clicked <= timestamp")
+    newest = Window.partitionBy("impression_id").orderBy(F.desc("position"), F.desc("article_id"))
+    clicks = own.withColumn("age", F.row_number().over(newest) - 1).filter("age < 50")
+    # a row is its own user, as its history is its own
+    clicks = cut(clicks.select(F.col("impression_id").cast("string").alias("user_id"), "split", "article_id", "age"))
+    rows = cut(test.withColumn("user_id", F.col("impression_id").cast("string")))
+    scored = sm.topk_pair_scores(_pairs(rows), clicks, base.units(spark, d), 5)
+    wide = sp.explode_candidates(rows, ("split",)).drop("label").join(scored, ["user_id", "split", "article_id"], "left")
+    return sub.ranks(wide.withColumn("score", F.round(F.coalesce("semantic", F.lit(0.0)), 9))).withColumn("ranks", F.array_join("ranks", ","))
+
+
 @query(""", pl AS (SELECT impression_id, label, count(*) OVER (PARTITION BY impression_id) - rank + 1 AS up FROM rk WHERE scorer = 'semantic'),
   ex AS (SELECT impression_id, CASE WHEN sum(label) > 0 AND sum(1 - label) > 0 THEN (sum(label * up) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label))::DOUBLE END AS auc FROM pl GROUP BY 1)
 SELECT round(avg(ex.auc), 6) AS auc, round(avg(mrr), 6) AS mrr, round(avg(ndcg_5), 6) AS ndcg_5, round(avg(ndcg_10), 6) AS ndcg_10 FROM acc JOIN ex USING (impression_id) WHERE scorer = 'semantic'""")
