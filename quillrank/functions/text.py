@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 #: Words that are no terms, by language.
 STOPWORDS = {
-    "en": (
-        "a an the and or but if of at by for with about into to from in on off over under is are was were be been being am "
-        "do does did has have had it its this that these those as s t"
-    ).split(),
-    "da": (
-        "og i jeg det at en den til er som paa de med han af for ikke der var mig sig men et har om vi min havde ham hun "
-        "nu over da fra du ud sin dem os op man hans hvor eller hvad skal selv her alle vil blev kunne ind naar vaere dog"
-    ).split(),
+    "en": [
+        "a", "an", "the", "and", "or", "but", "if", "of", "at", "by", "for", "with", "about", "into", "to", "from",
+        "in", "on", "off", "over", "under", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does",
+        "did", "has", "have", "had", "it", "its", "this", "that", "these", "those", "as", "s", "t",
+    ],
+    "da": [
+        "og", "i", "jeg", "det", "at", "en", "den", "til", "er", "som", "paa", "de", "med", "han", "af", "for", "ikke",
+        "der", "var", "mig", "sig", "men", "et", "har", "om", "vi", "min", "havde", "ham", "hun", "nu", "over", "da",
+        "fra", "du", "ud", "sin", "dem", "os", "op", "man", "hans", "hvor", "eller", "hvad", "skal", "selv", "her",
+        "alle", "vil", "blev", "kunne", "ind", "naar", "vaere", "dog",
+    ],
 }
 # letters, letter-like numerals and other numerals; decimal digits separate
 _WORD = r"([\p{L}\p{Nl}\p{No}]+)"

@@ -311,7 +311,7 @@ def infer_parquet(
     Users without history keep the candidates' order; repeated ids are allowed.
     """
     store = Store(spark, cfg, folder, vectors)
-    log = spark.read.parquet(behaviors).withColumn("file_no", F.lit(0)).withColumn("row_no", F.monotonically_increasing_id()).withColumnRenamed("impression_id", "_source")
+    log = spark.read.parquet(behaviors).withColumn("file_no", F.lit(0)).withColumn("row_no", raw.row_place()).withColumnRenamed("impression_id", "_source")
     log = raw.surrogate_ids(log, ["file_no", "row_no"])
     imps = log.select("impression_id", F.col("_source").cast("bigint").alias("source_impression_id"), F.col("user_id").cast("string").alias("user_id"),
                       F.col("impression_time").cast("timestamp_ntz").alias("timestamp"), F.col("article_ids_inview").cast("array<string>").alias("inview_ids"),

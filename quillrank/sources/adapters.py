@@ -11,7 +11,7 @@ from quillrank.config import Config
 from quillrank.functions.text import string_list
 from quillrank.schema import validate
 from quillrank.sources.raw import (
-    BEHAVIOR_COLUMNS, NEWS_COLUMNS, entity_labels, first_per_key, history_rows, parse_candidates, parse_time, scan_tsv, surrogate_ids,
+    BEHAVIOR_COLUMNS, NEWS_COLUMNS, entity_labels, first_per_key, history_rows, parse_candidates, parse_time, row_place, scan_tsv, surrogate_ids,
 )
 
 Tables = tuple[DataFrame, DataFrame, DataFrame]
@@ -57,7 +57,7 @@ def parquet_log(spark: SparkSession, cfg: Config) -> Tables:
             F.col("impression_id").cast("bigint").alias("source_impression_id"), F.col("user_id").cast("string").alias("user_id"),
             F.col("impression_time").cast("timestamp_ntz").alias("timestamp"), string_list("article_ids_inview").alias("inview_ids"),
             string_list("article_ids_clicked").alias("clicked_ids"), F.lit(split).alias("source_split"), F.lit(no).alias("file_no"),
-            F.monotonically_increasing_id().alias("row_no")))
+            row_place().alias("row_no")))
         past = spark.read.parquet(cfg.raw[f"{split}_history"])
         histories.append(history_rows(past, "user_id", "article_id_fixed", "impression_time_fixed", F.lit(split)))
     impressions = surrogate_ids(logs[0].unionByName(logs[1]), ["file_no", "row_no"])

@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The columns of the files, in order, and the format of their times.
 NEWS_COLUMNS = ("article_id", "category", "subcategory", "title", "abstract", "url", "title_entities", "abstract_entities")
 BEHAVIOR_COLUMNS = ("impression_id", "user_id", "time", "history", "impressions")
 BEHAVIOR_TIME = "M/d/yyyy h:mm:ss a"
 
 
+def row_place() -> Column:
+    """A row's place in a scan of files: path, start of the split and order in it. Comparable, whatever order splits are read in."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
 def scan_tsv(spark: SparkSession, paths: str | list[str], columns: tuple[str, ...]) -> DataFrame:
     """Text columns of headerless, tab-separated files; quotes are text, empty stays empty.
 
-    ``file_no`` (place in ``paths``) and ``row_no`` (order within the file) keep the
-    provenance of every row.
+    ``file_no`` (place in ``paths``) and ``row_no`` (order within the file, or the
+    folder's files by name) keep the provenance of every row.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     schema = ", ".join(f"`{c}` string" for c in columns)
     frames = []
     for no, path in enumerate(paths):
         df = spark.read.schema(schema).option("sep", "\t").option("quote", "").option("header", False).csv(path)
-        df = df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns], F.lit(no).alias("file_no"))
-        frames.append(df.withColumn("row_no", F.monotonically_increasing_id()))
+        frames.append(df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns], F.lit(no).alias("file_no"), row_place().alias("row_no")))
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df)

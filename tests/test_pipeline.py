@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillrank import schema
 from quillrank.config import Config, load_config
 from quillrank.operators import evaluate, features, hybrid, lexical, metrics, scoring, semantic, splits, submission
-from quillrank.sources import adapters, fetch, sinks
+from quillrank.sources import adapters, fetch, raw, sinks
 
 T0 = dt.datetime(2024, 1, 1)
 IMP = schema.TABLES["impressions"]
@@ -317,6 +317,19 @@ def test_config(tmp_path):
         cfg.require("vectors")
 
 
+def test_rows_of_a_folder_keep_the_order_of_its_files(spark, tmp_path):
+    # the later files are the larger ones, which are read first
+    for part, n in enumerate((3, 400, 5_000)):
+        (tmp_path / f"part-{part}.tsv").write_text("".join(f"{part}-{i:05d}\tx\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        rows = raw.surrogate_ids(raw.scan_tsv(spark, str(tmp_path), ("id", "x")), ["file_no", "row_no"], "no")
+        got = [r.id for r in rows.orderBy("no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(got) and len(got) == 5_403
+
+
 def test_archives(tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("top/x/one.txt", "1")
