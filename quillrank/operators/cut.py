@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -36,6 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stream(files: list[str], columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows of a table that ``cut`` has written (its ``inputFiles()``).
+
+    For tasks that meet the whole table: each reads the one copy in the shared folder
+    piece by piece, and no copy for each of them goes through a shuffle.
+    """
+    for uri in files:
+        system, path = pa.fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            yield from (b for b in pq.ParquetFile(f).iter_batches(batch_size=rows, columns=columns, use_threads=False) if len(b))
+
+
 @atexit.register
 def release() -> None:
     """Delete the tables written so far; results that still read them must be done."""

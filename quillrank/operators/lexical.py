@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.operators.best import user_blocks
 from quillrank.operators.cut import cut
 
 K1, B = 1.2, 0.75
@@ -116,12 +117,6 @@ def best_per_row(scores: np.ndarray, k: int, above: float | None = None) -> tupl
     return i[place < k], j[place < k]
 
 
-def user_blocks(spark: SparkSession, users: int, article_blocks: int, block_users: int) -> int:
-    """Blocks of users: of bounded size, and enough of them to occupy all cores."""
-    wanted = -(-spark.sparkContext.defaultParallelism // article_blocks)
-    return max(1, -(-users // block_users), min(wanted, -(-users // 50)))
-
-
 def recall_at(impressions: DataFrame, retrieved: DataFrame, profiles: DataFrame, ks: tuple[int, ...] = (50, 100, 200)) -> DataFrame:
     """Hits over clicks of impressions whose user has a profile, one row with ``recall_<k>``."""
     users = profiles.select("user_id", "split").distinct()

@@ -6,12 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.vectors import EPS, divide, dot, l2_normalize, norm, sum_vectors
-from quillrank.operators.cut import cut
-from quillrank.operators.lexical import best_per_row, user_blocks
+from quillrank.operators.best import FOUND, Best, Order, user_blocks
+from quillrank.operators.cut import cut, stream
 
 
 #: Cells of the approximate search (67 million articles); their centres are fitted on 8 articles for each, or 20,000.
@@ -75,41 +77,115 @@ def topk_pair_scores(pairs: DataFrame, clicks: DataFrame, units: DataFrame, k: i
     return joined.withColumn(name, F.when(F.size("_us") > 0, F.coalesce(mean, F.lit(0.0))).otherwise(F.lit(0.0))).drop("_us", "_a")
 
 
-def retrieve_vectors(users: DataFrame, units: DataFrame, pool: DataFrame, k: int, *, block_articles: int = 20_000, block_users: int = 5_000, digits: int = 9) -> DataFrame:
+def click_vectors(clicks: DataFrame, units: DataFrame) -> DataFrame:
+    """As :func:`user_vectors` without weights, for ``units`` that are a table written by ``cut``.
+
+    Only lists of article ids go to the users; their tasks read the vectors where they lie,
+    so no vector is shuffled for each click.
+    """
+    lists = clicks.groupBy("user_id", "split").agg(F.collect_list("article_id").alias("ids"))
+    files = units.inputFiles()
+
+    def run(batches):
+        for whole in batches:
+            for s in range(0, len(whole), 5_000):
+                part = whole.slice(s, 5_000)
+                lengths = pc.list_value_length(part.column("ids")).to_numpy(zero_copy_only=False)
+                asked = part.column("ids").flatten().dictionary_encode()
+                which, vectors, known = asked.indices.to_numpy(zero_copy_only=False), None, np.zeros(len(asked.dictionary), bool)
+                for docs in stream(files, ["article_id", "unit"], 20_000):
+                    at = pc.index_in(docs.column("article_id"), value_set=asked.dictionary)
+                    here = np.flatnonzero(at.is_valid())
+                    if len(here):
+                        m, at = _matrix(docs.column("unit")), at.drop_null().to_numpy(zero_copy_only=False)
+                        vectors = np.zeros((len(known), m.shape[1])) if vectors is None else vectors
+                        vectors[at], known[at] = m[here], True
+                who, which = np.repeat(np.arange(len(part)), lengths)[known[which]], which[known[which]]
+                if not len(who):
+                    continue
+                starts = np.flatnonzero(np.diff(who, prepend=-1))
+                mean = np.add.reduceat(vectors[which], starts, axis=0) / np.diff(starts, append=len(who))[:, None]
+                unit = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), EPS)
+                names = part.select(["user_id", "split"]).take(pa.array(who[starts]))
+                yield pa.RecordBatch.from_arrays([*names.columns, _vectors(unit)], ["user_id", "split", "unit"])
+
+    return lists.mapInArrow(run, "user_id string, split string, unit array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _vectors(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def _search(users: DataFrame, n_users: int, files: list[str], block_users: int, k: int, find) -> DataFrame:
+    """Blocks of users, each in one task: ``find(unit vectors, Best)`` sees all articles of ``files``."""
+    asks = users.select("user_id", "split", "unit").repartition(user_blocks(users.sparkSession, n_users, 1, block_users), "user_id", "split")
+
+    def run(batches):
+        order = None
+        for whole in batches:
+            for s in range(0, len(whole), block_users):
+                part = whole.slice(s, block_users)
+                x = _matrix(part.column("unit"))
+                part, x = part.filter(pa.array(np.linalg.norm(x, axis=1) > EPS)), x[np.linalg.norm(x, axis=1) > EPS]
+                if len(part):
+                    order = order or Order(files)
+                    best = Best(len(part), k)
+                    find(x, best, order)
+                    yield best.rows(part, order)
+
+    return asks.mapInArrow(run, FOUND)
+
+
+def retrieve_vectors(users: DataFrame, units: DataFrame, pool: DataFrame | None, k: int, *, block_articles: int = 20_000, block_users: int = 5_000, digits: int = 9) -> DataFrame:
     """Exact best ``k`` articles by inner product: ``(user_id, split, article_id, score, rank)``.
 
-    Blocks of users meet blocks of articles, each pair of blocks one matrix product;
-    only ``k`` rows per user leave a task. Articles without vector and users with a
-    zero vector take no part; ties by id.
+    Blocks of users meet all articles block by block, read from one shared copy, so neither
+    is repeated in a shuffle and only ``k`` rows per user leave a task. Products are made in
+    single precision first; those that its error bound leaves a chance are made again in double.
+    Articles without vector and users with a zero vector take no part; ties by id.
+    Without ``pool``, ``users`` and ``units`` are tables written by ``cut``, the latter :func:`searchable`.
+    """
+    items = units if pool is None else cut(searchable(units, pool))
+    asks = users if pool is None else cut(users)
+    files = items.inputFiles()
+
+    def find(x: np.ndarray, best: Best, order: Order) -> None:
+        single, length, done = x.astype(np.float32), np.linalg.norm(x, axis=1), 0
+        for docs in stream(files, ["article_id", "unit"], block_articles):
+            m, code = _matrix(docs.column("unit")), order.codes(done, len(docs))
+            done += len(docs)
+            error = (x.shape[1] + 4) * 2.0**-23 * length * np.linalg.norm(m, axis=1).max() + 10.0**-digits
+            for a in range(0, len(m), 2_048):
+                tile, other = m[a : a + 2_048], m[a : a + 2_048].astype(np.float32).T
+                for u in range(0, len(x), 1_024):
+                    at = slice(u, u + 1_024)
+                    sims = single[at] @ other
+                    i, j = best.chances(sims, at, error[at])
+                    for s in range(0, len(i), 100_000):
+                        p, q = i[s : s + 100_000], j[s : s + 100_000]
+                        best.add(u + p, code[a + q], np.round(np.einsum("ij,ij->i", x[u + p], tile[q]), digits))
+
+    return _search(asks, asks.count(), files, block_users, k, find)
+
+
+def searchable(units: DataFrame, pool: DataFrame) -> DataFrame:
+    """``(article_id, unit, has_vector)`` of the pool's articles that have a vector."""
+    return units.filter("has_vector").join(pool.select("article_id"), "article_id", "left_semi").select("article_id", "unit", "has_vector")
+
+
+def fit_cells(units: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 13, n: int | None = None) -> np.ndarray:
+    """Centres of a spherical k-means on a bounded, hash-chosen sample of unit vectors.
+
+    With their number ``n``, vectors far beyond the sample's last hash are left out before the sort.
     """
-    items = cut(units.filter("has_vector").join(pool.select("article_id"), "article_id", "left_semi").select("article_id", "unit"))
-    asks = cut(users.filter(norm("unit") > EPS).select("user_id", "split", "unit"))
-    ab = max(1, -(-items.count() // block_articles))
-    ub = user_blocks(units.sparkSession, asks.count(), ab, block_users)
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = items.withColumn("_ab", F.pmod(F.xxhash64("article_id"), F.lit(ab)).cast("int")).withColumn("_ub", every(ub))
-    right = asks.withColumn("_ub", F.pmod(F.xxhash64("user_id"), F.lit(ub)).cast("int")).withColumn("_ab", every(ab))
-
-    def answer(docs: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(docs) and len(q):
-            docs = docs.sort_values("article_id")
-            ids, m = docs["article_id"].to_numpy(), np.stack(docs["unit"].to_numpy())
-            for s in range(0, len(q), 256):
-                part = q.iloc[s : s + 256]
-                sims = np.round(np.stack(part["unit"].to_numpy()) @ m.T, digits)
-                i, j = best_per_row(sims, k)
-                parts.append(pd.DataFrame({"user_id": part["user_id"].to_numpy()[i], "split": part["split"].to_numpy()[i], "article_id": ids[j], "score": sims[i, j]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"user_id": [], "split": [], "article_id": [], "score": []})
-
-    found = left.groupBy("_ab", "_ub").cogroup(right.groupBy("_ab", "_ub")).applyInPandas(answer, "user_id string, split string, article_id string, score double")
-    w = Window.partitionBy("user_id", "split").orderBy(F.desc("score"), "article_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def fit_cells(units: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 13) -> np.ndarray:
-    """Centres of a spherical k-means on a bounded, hash-chosen sample of unit vectors."""
-    rows = units.filter("has_vector").orderBy(F.md5("article_id"), "article_id").limit(sample).select("unit").toArrow().column(0).combine_chunks()
+    units = units.filter("has_vector")
+    if n and 2 * sample + 1_000 < n:
+        units = units.filter(F.md5("article_id") < f"{(2 * sample + 1_000) * 2**32 // n:08x}")
+    rows = units.orderBy(F.md5("article_id"), "article_id").limit(sample).select("unit").toArrow().column(0).combine_chunks()
     if not len(rows):
         return np.zeros((1, 1))
     x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
@@ -128,50 +204,51 @@ def nearest_cells(unit: str, centres: np.ndarray, n: int) -> Column:
     @F.pandas_udf("array<int>")
     def cells(units: pd.Series) -> pd.Series:
         x = np.stack(units.to_numpy())
+        if n == 1:
+            return pd.Series(list(np.argmax(x @ centres.T, axis=1)[:, None].astype(np.int32)))
         return pd.Series(list(np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)))
 
     return cells(unit)
 
 
-def retrieve_approximate(users: DataFrame, units: DataFrame, pool: DataFrame, k: int, *, cells: int | None = None, probe: int = 64, chunk: int = 20_000) -> DataFrame:
+def retrieve_approximate(users: DataFrame, units: DataFrame, pool: DataFrame | None, k: int, *, cells: int | None = None, probe: int = 64, chunk: int = 20_000) -> DataFrame:
     """Best ``k`` articles among those in the ``probe`` cells nearest to the user.
 
-    An inverted file: every article lies in one cell, cells larger than ``chunk`` are
-    split, and users visit their cells' tasks. Cells are twice the root of the
+    An inverted file: every article lies in one cell, cells are stored one after the other, and
+    a block of users goes through them, ``chunk`` articles at a time; no user is sent to
+    a cell. Cells are twice the root of the
     collection unless stated, ``MAX_CELLS`` at most, so a cell grows with the root as
-    well. Same columns as the exact search.
+    well. Same columns and use of ``pool`` as the exact search.
     """
-    items = cut(units.filter("has_vector").join(pool.select("article_id"), "article_id", "left_semi"))
-    wanted = cells or min(MAX_CELLS, math.ceil(2 * math.sqrt(items.count())))
-    centres = fit_cells(items, max(1, wanted), sample=max(20_000, 8 * wanted))
-    asks = cut(users.filter(norm("unit") > EPS).select("user_id", "split", "unit"))
-    if not items.limit(1).count() or not asks.limit(1).count():
-        return retrieve_vectors(users, units, pool, k)
+    items = units if pool is None else cut(searchable(units, pool))
+    asks = users if pool is None else cut(users)
+    n_items = items.count()
+    wanted = cells or min(MAX_CELLS, math.ceil(2 * math.sqrt(n_items)))
+    centres = fit_cells(items, max(1, wanted), sample=max(20_000, 8 * wanted), n=n_items)
+    if not n_items or not asks.limit(1).count():
+        return retrieve_vectors(asks, items, None, k)
     placed = items.select("article_id", "unit", nearest_cells("unit", centres, 1)[0].alias("_cell"))
-    placed = cut(placed)
-    parts = placed.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_parts"))
-    left = placed.join(F.broadcast(parts), "_cell").withColumn("_part", F.pmod(F.xxhash64("article_id"), F.col("_parts")).cast("int"))
-    right = asks.select("user_id", "split", "unit", F.explode(nearest_cells("unit", centres, probe)).alias("_cell"))
-    right = right.join(F.broadcast(parts.select(F.col("_cell").alias("_c2"), F.col("_parts").alias("_p2"))), F.col("_cell") == F.col("_c2"))
-    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_p2") - 1))).drop("_c2", "_p2")
-
-    def answer(docs: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        parts_ = []
-        if len(docs) and len(q):
-            ids, m = docs["article_id"].to_numpy(), np.stack(docs["unit"].to_numpy())
-            take = min(k, len(ids))
-            for s in range(0, len(q), 256):
-                part = q.iloc[s : s + 256]
-                sims = np.stack(part["unit"].to_numpy()) @ m.T
-                top = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-                parts_.append(pd.DataFrame({
-                    "user_id": np.repeat(part["user_id"].to_numpy(), take), "split": np.repeat(part["split"].to_numpy(), take),
-                    "article_id": ids[top.ravel()], "score": np.take_along_axis(sims, top, 1).ravel()}))
-        return pd.concat(parts_) if parts_ else pd.DataFrame({"user_id": [], "split": [], "article_id": [], "score": []})
-
-    found = left.groupBy("_cell", "_part").cogroup(right.groupBy("_cell", "_part")).applyInPandas(answer, "user_id string, split string, article_id string, score double")
-    w = Window.partitionBy("user_id", "split").orderBy(F.desc("score"), "article_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    files = cut(placed.repartition("_cell").sortWithinPartitions("_cell")).inputFiles()
+
+    def find(x: np.ndarray, best: Best, order: Order) -> None:
+        near = np.concatenate([np.argsort(-(x[s : s + 1_000] @ centres.T), axis=1, kind="stable")[:, :probe] for s in range(0, len(x), 1_000)])
+        by = np.argsort(near, axis=None, kind="stable")
+        edges, visitors, done = np.searchsorted(near.ravel()[by], np.arange(len(centres) + 1)), by // near.shape[1], 0
+        for docs in stream(files, ["article_id", "unit", "_cell"], chunk):
+            m, cell, code = _matrix(docs.column("unit")), docs.column("_cell").to_numpy(), order.codes(done, len(docs))
+            done += len(docs)
+            found = []
+            runs = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+            for a, b in zip(runs[:-1], runs[1:], strict=True):
+                who = visitors[edges[cell[a]] : edges[cell[a] + 1]]
+                if len(who):
+                    sims = x[who] @ m[a:b].T
+                    i, j = best.chances(sims, who, 0.0)
+                    found.append((who[i], code[a + j], sims[i, j]))
+            if found:
+                best.add(*map(np.concatenate, zip(*found, strict=True)))
+
+    return _search(asks, asks.count(), files, 5_000, k, find)
 
 
 def agreement(exact: DataFrame, approximate: DataFrame) -> DataFrame:

@@ -353,7 +353,7 @@ _SEM_TOP = """SELECT user_id, split, article_id, score, rank FROM (SELECT *, row
 def _sem_inputs(spark: SparkSession, d: str, impressions: DataFrame, pool: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     units = cut(base.units(spark, d))
     ids = ft.build_pool(base.articles(spark, d), impressions, pool)[0]
-    return sm.user_vectors(base.clicks(spark, d, impressions), units, base.DIM), units, ids
+    return sm.click_vectors(base.clicks(spark, d, impressions), units), units, ids
 
 
 def _sem(spark: SparkSession, d: str, impressions: DataFrame, k: int, pool: str) -> DataFrame:
@@ -373,8 +373,8 @@ def recall_semantic(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ann_agreement(spark: SparkSession, d: str) -> DataFrame:
     users, units, ids = _sem_inputs(spark, d, base.split(spark, d, "test"), "all")
-    users = cut(users)
-    return sm.agreement(sm.retrieve_vectors(users, units, ids, 20), sm.retrieve_approximate(users, units, ids, 20))
+    users, items = cut(users), cut(sm.searchable(units, ids))
+    return sm.agreement(sm.retrieve_vectors(users, items, None, 20), sm.retrieve_approximate(users, items, None, 20))
 
 
 def _pairs(impressions: DataFrame) -> DataFrame:

@@ -181,6 +181,36 @@ def test_approximate_search_agrees(spark, data):
     assert semantic.agreement(exact, semantic.retrieve_approximate(users, units, units, 10, cells=8, probe=8)).first().agreement == pytest.approx(1.0)
 
 
+def test_vector_search_repeats_no_block(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, m = np.round(rng.normal(size=(90, 8)), 1), np.round(rng.normal(size=(300, 8)), 1)
+    m[150:] = m[:150]  # ties
+    units = spark.createDataFrame([(f"a{i:03d}", [float(c) for c in v], True) for i, v in enumerate(m)], "article_id string, unit array<double>, has_vector boolean")
+    users = spark.createDataFrame([(f"u{i:02d}", "test", [float(c) for c in v]) for i, v in enumerate(x)], "user_id string, split string, unit array<double>")
+    scores = np.round(x @ m.T, 9)
+    want = {(f"u{u:02d}", f"a{a:03d}", r + 1) for u in range(90) for r, a in enumerate(np.lexsort((np.arange(300), -scores[u]))[:7])}
+    near = semantic.retrieve_approximate(users, units, units, 7, cells=5, probe=5, chunk=31)
+    for found in (semantic.retrieve_vectors(users, units, units, 7, block_articles=40, block_users=10), near):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroups" not in plan and "Generate" not in plan  # one copy of users and articles, whatever the number of blocks
+    exact = semantic.retrieve_vectors(users, units, units, 7, block_articles=40, block_users=10)
+    assert {(r.user_id, r.article_id, r["rank"]) for r in exact.collect()} == want
+    assert semantic.agreement(exact, near).first().agreement > 0.95  # products that differ in their last digit
+
+
+def test_click_vectors_match_sums(spark, data):
+    from quillrank.operators.cut import cut
+    from quillrank.plans import base
+
+    units, clicks = cut(base.units(spark, data)), base.clicks(spark, data, base.test_sample(spark, data))
+    rows = lambda df: {(r.user_id, r.split): r.unit for r in df.collect()}
+    got, want = rows(semantic.click_vectors(clicks, units)), rows(semantic.user_vectors(clicks, units, base.DIM))
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
 def test_vector_sums_wide_and_exploded(spark, monkeypatch):
     from quillrank.functions import vectors
 
