@@ -35,13 +35,15 @@ class Best:
         self.score = np.full((users, k), -np.inf)
         self.code = np.full((users, k), -1, np.int64)
 
-    def chances(self, scores: np.ndarray, users, error) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and columns of ``scores`` of ``users``, known within ``error``, that may be among the best."""
+    def chances(self, scores: np.ndarray, users, error, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of ``scores`` of ``users``, known within ``error``, that may be among the best (``positive``: and over 0)."""
         least = self.score[users, -1] - error
         if scores.shape[1] >= self.k and (least == -np.inf).any():
             least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k].astype(np.float64) - 2 * error)
         if scores.dtype == np.float32:
             least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+        if positive:
+            least = np.maximum(least, np.nextafter(scores.dtype.type(0), scores.dtype.type(1)))
         return np.divmod(np.flatnonzero(scores >= least[:, None]), scores.shape[1])
 
     def add(self, users: np.ndarray, code: np.ndarray, score: np.ndarray) -> None:

@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stream(files: list[str], columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+def stream(files: list[str], columns: list[str] | None, rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows of a table that ``cut`` has written (its ``inputFiles()``).
 
     For tasks that meet the whole table: each reads the one copy in the shared folder

@@ -287,7 +287,7 @@ _BM25_TOP = """SELECT user_id, split, article_id, score, rank FROM (SELECT *, ro
 def _retrieve(spark: SparkSession, d: str, impressions: DataFrame, k: int, pool: str = "all") -> DataFrame:
     features = cut(base.tokens(spark, d))
     ids = ft.build_pool(base.articles(spark, d), impressions, pool)[0]
-    return lx.retrieve(lx.query_terms(base.clicks(spark, d, impressions), features), lx.postings(features), ids, k)
+    return lx.retrieve_clicked(base.clicks(spark, d, impressions), features, ids, k)
 
 
 @query("SELECT user_id, article_id, round(score, 6) AS score, rank::INT AS rank FROM (" + _BM25_TOP.format(where="", k=50) + ")")

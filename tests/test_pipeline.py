@@ -170,6 +170,20 @@ def test_retrieval_blocks_do_not_matter(spark, data):
     assert rows(lexical.retrieve(q, ix, pool, 7)) == rows(lexical.retrieve(q, ix, pool, 7, block_articles=30, block_users=5))
 
 
+def test_term_search_repeats_no_block(spark, data):
+    from quillrank.plans import base
+
+    clicks, feats = base.clicks(spark, data, base.test_sample(spark, data)), base.tokens(spark, data)
+    pool = feats.select("article_id").filter("article_id < 'N100500000'")
+    long = lexical.retrieve(lexical.query_terms(clicks, feats), lexical.postings(feats), pool, 7, block_articles=300, block_users=50)
+    short = lexical.retrieve_clicked(clicks, feats, pool, 7, block_articles=170, block_users=60)
+    rows = lambda df: {(r.user_id, r.split, r.article_id, r.score, r["rank"]) for r in df.collect()}
+    assert rows(long) == rows(short) and {r[2] for r in rows(short)} <= {r.article_id for r in pool.collect()}
+    for found in (long, short):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroups" not in plan and "Generate" not in plan  # one copy of users and articles, whatever the number of blocks
+
+
 def test_approximate_search_agrees(spark, data):
     from quillrank.plans import base
 
