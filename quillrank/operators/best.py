@@ -38,8 +38,10 @@ class Best:
     def chances(self, scores: np.ndarray, users, error, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Rows and columns of ``scores`` of ``users``, known within ``error``, that may be among the best (``positive``: and over 0)."""
         least = self.score[users, -1] - error
-        if scores.shape[1] >= self.k and (least == -np.inf).any():
-            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k].astype(np.float64) - 2 * error)
+        short = np.flatnonzero(least == -np.inf) if scores.shape[1] >= self.k else ()
+        if len(short):
+            margin = np.broadcast_to(error, len(least))[short]
+            least[short] = np.partition(scores[short], -self.k, axis=1)[:, -self.k].astype(np.float64) - 2 * margin
         if scores.dtype == np.float32:
             least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
         if positive:

@@ -15,7 +15,7 @@ K1, B = 1.2, 0.75
 #: Scores that a task holds at once while it answers users from a block of articles (8 bytes each).
 SCORES = 4_000_000
 #: Products that a dense matrix makes in the time of one that is added by its place.
-DENSE = 64
+DENSE = 400
 
 
 def document_frequencies(features: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _answer(
             by = np.argsort(local[mine], kind="stable")
             by_term, first = who[mine][by] - u, np.concatenate([[0], np.cumsum(asked)])
             by_qtf = qtf[mine][by]
-            error = 1.01 * (np.count_nonzero(asked) + 8) * 2.0**-24 * (asks @ most) + 10.0**-digits
+            error = 1.01 * (n.max() + 8) * 2.0**-24 * (asks @ most) + 10.0**-digits  # a sum has no more parts that are not 0 than an article has terms
             for a in range(0, len(rows), tile):
                 b = min(a + tile, len(rows))
                 part = slice(edges[a], edges[b])
